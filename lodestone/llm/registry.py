@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestone.llm import media, packing, pii, toxicity, url_filter
+from lodestone.llm import embedding_dedup, media, packing, pii, toxicity, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_media": media.op5_media,
     "op6_packing": packing.op6_packing,
+    "op8_embedding_near_dup": embedding_dedup.op8_embedding_near_dup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_pii_spans": pii.op10_pii_spans,
 }
