@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_map, table
 from lodestone.llm.pii import HOMOGLYPHS
+from lodestone.session import materialise
 
 #: Signs and digits that stand for letters (fixed values).
 SUBSTITUTIONS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "+": "t"}
@@ -179,20 +180,16 @@ def _counts(sample: DataFrame, terms: set[str] | None = None) -> DataFrame:
     return found.agg(*(F.sum(n).alias(n) for n in names[1:5]), F.bit_count(F.bit_or("around")).alias("contexts"))
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Learns from at most ``max_rows`` labelled rows, those with the smallest hashes of ``key``.
+def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> ToxicityModel:
+    """Learns from the rows of ``labelled``, which ``training_rows`` bounds.
 
     Rows without a label are left out. With no row of either label the
     lexicon is empty and every score is the same low value. What reaches the
-    driver is bounded: ids of the sample, ``MAX_TERMS`` terms,
-    ``MAX_EXCEPTIONS`` phrases and two numbers for each sampled row.
+    driver is bounded: ``MAX_TERMS`` terms, ``MAX_EXCEPTIONS`` phrases and two
+    numbers for each row.
     """
-    rows = labelled.filter(F.col(label).isNotNull()).select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text"), (F.col(label) > 0).cast("int").alias("toxic"))
-    # Take the hash below which max_rows rows lie, then read them again by a filter.
-    cut = rows.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
-    if cut is None:
-        return ToxicityModel()
-    sample = rows.filter(F.col("h") <= cut).select("text", "toxic")
+    sample = labelled.filter(F.col(label).isNotNull()).select(F.col(text).alias("text"), (F.col(label) > 0).cast("int").alias("toxic"))
+    sample = materialise(sample, "toxicity-sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return ToxicityModel()
@@ -201,131 +198,6 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     words = _counts(sample).withColumn("weight", weight).filter((F.col("toxic") >= MIN_DOCS) & (F.col("contexts") >= MIN_CONTEXTS) & (F.col("weight") > MIN_WEIGHT))
     best = words.orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "unit").limit(MAX_TERMS).collect()
     terms = {r["unit"]: float(r["weight"]) for r in best}
-    exceptions: list[str] = field(default_factory=list)
-    coefficients: tuple[float, ...] = (-4.0, 1.0, 1.0)
-
-    def automaton(self):
-        import ahocorasick
-
-        found = ahocorasick.Automaton()
-        for t, w in self.terms.items():
-            pattern = f" {t[:-1]}" if t.endswith("*") else f" {t} "
-            found.add_word(pattern, ("term", len(pattern), w))
-        for e in self.exceptions:
-            found.add_word(f" {e} ", ("exception", len(e) + 2, 0.0))
-        if len(found):
-            found.make_automaton()
-            return found
-        return None
-
-    def features(self, text: str | None, automaton) -> tuple[float, float]:
-        """(weighted sum over length, log of the weighted sum) of the hits outside exception phrases."""
-        words = fold_words(text)
-        if not words or automaton is None:
-            return 0.0, 0.0
-        hits: dict[int, float] = {}  # by the place of the space before the word
-        spared = []
-        for end, (kind, size, weight) in automaton.iter(f" {' '.join(words)} "):
-            at = end + 1 - size
-            if kind == "term":
-                hits[at] = max(hits.get(at, 0.0), weight)
-            else:
-                spared.append((at, end))
-        if spared:
-            hits = {at: w for at, w in hits.items() if not any(a <= at < b for a, b in spared)}
-        total = sum(hits.values())
-        return 100.0 * total / (len(words) + LENGTH_PRIOR), math.log1p(total)
-
-    def probability(self, features: tuple[float, float]) -> float:
-        a, b, c = self.coefficients
-        x = a + b * features[0] + c * features[1]
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, x))))
-
-
-def held_out(key: Column) -> Column:
-    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1e-3) -> np.ndarray:
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (y - p) - ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
-def _counts(sample: DataFrame, terms: set[str] | None = None) -> DataFrame:
-    """For each folded word and word beginning: documents and occurrences of either label, and toxic contexts.
-
-    With ``terms``: for each two-word phrase with one of them instead. Sums are made per batch first.
-    """
-    names = ["unit", "clean", "toxic", "clean_uses", "toxic_uses", "around"]
-
-    def units(words: list[str]) -> dict[str, int]:
-        out: dict[str, int] = {}
-        for u, v in zip(["", *words], words) if terms is not None else (("", w) for w in words):
-            if terms is None:
-                for x in (v, *(f"{v[:n]}*" for n in STEMS if len(v) > n)):
-                    out[x] = out.get(x, 0) + 1
-            elif u and (is_term(u) or is_term(v)):
-                out[f"{u} {v}"] = out.get(f"{u} {v}", 0) + 1
-        return out
-
-    def is_term(w: str) -> bool:
-        return w in terms or any(f"{w[:n]}*" in terms for n in STEMS if len(w) > n)
-
-    def run(batches):
-        for b in batches:
-            seen: dict[str, list[int]] = {}
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = fold_words(text)
-                for u, n in units(words).items():
-                    if len(u) <= 64:
-                        c = seen.setdefault(u, [0, 0, 0, 0, 0])
-                        c[toxic] += 1
-                        c[2 + toxic] += min(n, MAX_REPEATS)
-                if toxic and terms is None:
-                    for u, v in zip(["", *words], words):
-                        bit = 1 << zlib.crc32(u.encode()) % 63
-                        for x in (v, *(f"{v[:n]}*" for n in STEMS if len(v) > n)):
-                            if len(x) <= 64:
-                                seen[x][4] |= bit
-            cols = zip(*seen.values(), strict=True) if seen else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names)
-
-    found = arrow_map(sample, run, "unit string, " + ", ".join(f"{n} long" for n in names[1:])).groupBy("unit")
-    return found.agg(*(F.sum(n).alias(n) for n in names[1:5]), F.bit_count(F.bit_or("around")).alias("contexts"))
-
-
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Learns from at most ``max_rows`` labelled rows, those with the smallest hashes of ``key``.
-
-    Rows without a label are left out. With no row of either label the
-    lexicon is empty and every score is the same low value. What reaches the
-    driver is bounded: ids of the sample, ``MAX_TERMS`` terms,
-    ``MAX_EXCEPTIONS`` phrases and two numbers for each sampled row.
-    """
-    rows = labelled.filter(F.col(label).isNotNull()).select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text"), (F.col(label) > 0).cast("int").alias("toxic"))
-    # Take the hash below which max_rows rows lie, then read them again by a filter.
-    cut = rows.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
-    if cut is None:
-        return ToxicityModel()
-    sample = rows.filter(F.col("h") <= cut).select("text", "toxic")
-    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        return ToxicityModel()
-    weight = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
-    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    base = n[1] / (n[0] + n[1])
-    words = _counts(sample).withColumn("weight", weight).filter((F.col("toxic") >= MIN_DOCS) & (F.col("contexts") >= MIN_CONTEXTS) & (F.col("weight") > 1.5) & (share > min(0.9, 3 * base)))
-    best = words.orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "unit").limit(MAX_TERMS).collect()
-    terms = {r["unit"]: float(r["weight"]) for r in best}
     exceptions: list[str] = []
     if terms:
         spared = _counts(sample, set(terms)).filter((F.col("clean") >= MIN_DOCS) & (F.col("toxic") / (F.col("clean") + F.col("toxic")) < base))
@@ -369,10 +241,15 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
     return arrow_map(docs, run, docs.schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents outside the held-out rows with their label; a label given twice counts as toxic if one is."""
-    own = labels.filter(~held_out(F.col(key))).groupBy(key).agg(F.max("toxic").alias("toxic"))
-    return docs.select(key, "text").join(own, key)
+def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", max_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``text`` and ``toxic`` of at most ``max_rows`` labelled keys outside the held-out rows, those with the smallest hashes.
+
+    A label given twice counts as toxic if one is. The chosen keys are
+    broadcast, as ``max_rows`` bounds them: the documents are not shuffled.
+    """
+    own = labels.filter(~held_out(F.col(key)) & F.col("toxic").isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
+    own = own.orderBy(F.xxhash64(key), key).limit(max_rows)
+    return docs.select(key, "text").join(F.broadcast(own), key).select("text", "toxic")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
