@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import embedding_dedup, media, packing, pii, toxicity, url_filter
+from lodestone.llm import embedding_dedup, media, minhash_dedup, packing, pii, toxicity, url_filter
 
 QUERIES = {
+    "op1_minhash_near_dup": minhash_dedup.op1_minhash_near_dup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_media": media.op5_media,
     "op6_packing": packing.op6_packing,
