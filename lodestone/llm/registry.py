@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import embedding_dedup, media, minhash_dedup, packing, pii, toxicity, url_filter
+from lodestone.llm import embedding_dedup, media, minhash_dedup, mixing, packing, pii, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash_near_dup": minhash_dedup.op1_minhash_near_dup,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_mixing": mixing.op4_mixing,
     "op5_media": media.op5_media,
     "op6_packing": packing.op6_packing,
     "op8_embedding_near_dup": embedding_dedup.op8_embedding_near_dup,
@@ -14,4 +15,4 @@ QUERIES = {
     "op10_pii_spans": pii.op10_pii_spans,
 }
 
-ORACLE_SQL = {"op3_url_filter": url_filter.SQL}
+ORACLE_SQL = {"op3_url_filter": url_filter.SQL, "op4_mixing": mixing.SQL}
