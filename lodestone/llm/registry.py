@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestone.llm import embedding_dedup, media, minhash_dedup, mixing, packing, pii, toxicity, url_filter
+from lodestone.llm import embedding_dedup, media, minhash_dedup, mixing, packing, pii, pitman_yor, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash_near_dup": minhash_dedup.op1_minhash_near_dup,
+    "op2_pitman_yor": pitman_yor.op2_pitman_yor,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_mixing": mixing.op4_mixing,
     "op5_media": media.op5_media,
