@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import embedding_dedup, media, minhash_dedup, mixing, packing, pii, pitman_yor, toxicity, url_filter
+from lodestone.llm import embedding_dedup, media, minhash_dedup, mixing, packing, pii, pitman_yor, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash_near_dup": minhash_dedup.op1_minhash_near_dup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_media": media.op5_media,
     "op6_packing": packing.op6_packing,
+    "op7_quality": quality.op7_quality,
     "op8_embedding_near_dup": embedding_dedup.op8_embedding_near_dup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_pii_spans": pii.op10_pii_spans,
