@@ -21,7 +21,7 @@ CYCLE = 1024
 #: Default weights are counts to this power.
 EXPONENT = 0.5
 #: Rows that one window task ranks, about.
-RANK_ROWS = 50_000
+RANK_ROWS = 4_096
 #: The schedule of a cycle is one row; more sources than these are refused.
 MAX_SOURCES = 4096
 
