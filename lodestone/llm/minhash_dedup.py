@@ -328,6 +328,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, columns as they were, without near copies of a row with a smaller ``key``.
+
+    Null and empty texts stay. Where rows share a key but not a text, each is
+    judged by its class; they stay if one of them does. Rows with a null key
+    form classes like others, and stay unless a keyed row shares their class.
+    """
+    found = near_duplicates(docs, key, text, threshold)
+    own = found.filter(F.col("kept") | F.col("component_id").isNull()).select(F.col(key).alias("kept_key")).distinct()
+    return docs.join(own, F.col(key).eqNullSafe(F.col("kept_key")), "left_semi")
+
+
 def _matching(pages: DataFrame) -> DataFrame:
     """``uid`` and ``text`` of the rows ``(uid, content, text)`` whose text has that content, one row for each vertex and task."""
 

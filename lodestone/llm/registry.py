@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lodestone.llm import embedding_dedup, media, minhash_dedup, mixing, packing, pii, pitman_yor, quality, toxicity, url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_minhash_near_dup": minhash_dedup.op1_minhash_near_dup,
     "op2_pitman_yor": pitman_yor.op2_pitman_yor,
     "op3_url_filter": url_filter.op3_url_filter,
