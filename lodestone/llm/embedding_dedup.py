@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_map, table
@@ -97,6 +97,23 @@ def link_tiles(pairs: DataFrame, rotations: dict[int, np.ndarray], threshold: fl
     return arrow_map(pairs, run, "uid long, links long, root long")
 
 
+def _shifts(axis: int):
+    """One cell to three: moved by -1, 0 and 1 along ``axis``."""
+
+    def moved(by: int):
+        return lambda x, i: F.when(i == axis, x + by).otherwise(x)
+
+    return lambda c: F.array(*[F.transform(c, moved(by)) for by in (-1, 0, 1)])
+
+
+def _around(cell: str) -> Column:
+    """The cell and its neighbours in every grid dimension; only itself where vectors have no cell."""
+    near = F.array(F.col(cell))
+    for d in range(GRID_DIMS):
+        near = F.flatten(F.transform(near, _shifts(d)))
+    return F.array_distinct(near)
+
+
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: ``key, n_links, component_id, kept``.
 
@@ -154,11 +171,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((tile, dim, cell, ids, n, b"".join(x["raw"] for x in v)), kinds, strict=True)], names)
 
     tiles = materialise(arrow_map(tiles, packed, "tile string, dim int, cell array<int>, ids binary, n binary, raw binary"), "tiles")
-    around = F.array(*[F.lit(x) for x in (-1, 0, 1)])
-    near = F.array(F.col("cell"))
-    for d in range(GRID_DIMS):
-        near = F.flatten(F.transform(near, lambda c, d=d: F.transform(around, lambda s: F.transform(c, lambda x, i: F.when(i == d, x + s).otherwise(x)))))
-    a = tiles.select(F.col("tile").alias("a"), "dim", F.explode(F.array_distinct(near)).alias("cell"))
+    a = tiles.select(F.col("tile").alias("a"), "dim", F.explode(_around("cell")).alias("cell"))
     b = tiles.select(F.col("tile").alias("b"), "dim", "cell")
     pairs = a.join(b, ["dim", "cell"]).filter("a <= b").select("a", "b", "dim")
     for side in "ab":
