@@ -44,7 +44,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Texts to sorted shingle hashes and their counts; hashes of words are kept in a bounded table."""
 
-    def __init__(self, size: int = SHINGLE, most: int = 500_000):
+    def __init__(self, size: int = SHINGLE, most: int = 200_000):
         self.size, self.most, self.words = size, most, {}
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:

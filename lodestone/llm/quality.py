@@ -161,7 +161,7 @@ def hashed(facts: Facts, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]
     for w in facts.counts:
         k = cache.get(w)
         if k is None:
-            if len(cache) > 500_000:
+            if len(cache) > 200_000:
                 cache.clear()
             k = cache[w] = _bucket("w:" + w.lower())
         at.append(k)
