@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone import errors
 from lodestone.errors import EngineError
-from lodestone.sources import encoding, office
+from lodestone.sources import encoding, office, pdf_text
 from lodestone.sources.html import html_to_markdown
 
 MAX_BYTES = 100 * 1024 * 1024
@@ -144,6 +146,59 @@ def read_pages(pages: DataFrame, url: str = "url", body: str = "html", content_t
     return out.withColumn("filename", U.filename_of(F.col("url")))
 
 
+def read_file(path: str, asked: str = "utf-8") -> dict:
+    """One local file: text, format_text, mime, page_count, filename. Errors carry a code."""
+    name = os.path.basename(path)
+    try:
+        with open(path, "rb") as f:
+            data = f.read()
+    except FileNotFoundError as e:
+        raise EngineError(errors.READER_NOT_FOUND, path) from e
+    except PermissionError as e:
+        raise EngineError(errors.READER_PERMISSION, path) from e
+    except OSError as e:
+        raise EngineError(errors.READER_PARSE, f"{path}: {e}") from e
+    text, shown, mime, pages = read_bytes(data, os.path.splitext(name)[1], asked)
+    return {"text": text, "format_text": shown, "mime": mime, "page_count": pages, "filename": name}
+
+
+#: url to (content type or None, body); raises what it likes.
+Fetcher = Callable[[str], tuple[str | None, bytes]]
+MAX_PAGE_BYTES = 1_000_000_000
+
+
+def fetch_pages(urls: DataFrame, fetcher: Fetcher, url: str = "url", most: int = MAX_PAGE_BYTES, parts: int | None = None) -> DataFrame:
+    """``url, content_type, body, error`` of pages that ``fetcher`` gets on the executors; ``parts`` bounds how many work at once."""
+    source = urls.select(F.col(url).alias("url"))
+    source = source.repartition(parts) if parts else source
+
+    def run(batches):
+        for b in batches:
+            for u in b.column(0).to_pylist():
+                kind, body, error = None, None, None
+                try:
+                    kind, body = fetcher(u)
+                    if len(body) > most:
+                        body, error = None, {"code": errors.READER_TOO_LARGE, "message": u}
+                except Exception as e:  # a page that cannot be had is a row with an error
+                    error = {"code": errors.READER_PARSE, "message": f"{u}: {e}"}
+                cols = [pa.array([u], pa.string()), pa.array([kind], pa.string()), pa.array([body], pa.binary()), pa.array([error], pa.struct([("code", pa.string()), ("message", pa.string())]))]
+                yield pa.RecordBatch.from_arrays(cols, ["url", "content_type", "body", "error"])
+
+    return source.mapInArrow(run, "url string, content_type string, body binary, error struct<code:string,message:string>")
+
+
+def register_pdf(pages_of: Callable[[bytes], list[str]], nfkc: bool = False) -> None:
+    """Installs a PDF reader from a function that gives the texts of the pages; they are cleaned as ``operators.pdf_lines`` does."""
+
+    def reader(data: bytes, asked: str) -> Result:
+        pages = pages_of(data)
+        text = pdf_text.clean_pages(pages)
+        return unicodedata.normalize("NFKC", text) if nfkc else text, None, "application/pdf", len(pages)
+
+    register("pdf", reader)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema) -> DataFrame:
     """Rows of a JSON-lines file; blank and malformed lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

@@ -224,3 +224,34 @@ def test_url_formats(spark):
         assert r.got == r.want
     assert df.filter("url like '%CSV%'").select(U.filename_of(F.col("url"))).first()[0] == "u@a:8/p/y.CSV"
     assert df.select(U.image_extension(F.lit("IMAGE/PNG")), U.image_extension(F.lit("x/y"))).first()[:] == ("png", "bin")
+
+
+def test_pdf_seam_and_single_files(spark, tmp_path):
+    from lodestone.sources import pdf_text
+
+    pages = ["Header\n\nFirst line\ngoes on.\n- item\n1", "Header\nSecond\n\nPage 2", "Header\nThird\n- 3 -", ""]
+    docs = spark.createDataFrame([(1, pages)], "doc_id int, pages array<string>")
+    assert pdf_text.clean_pages(pages) == pdf_lines.document_text(docs).first().text
+    table = dict(readers.READERS)
+    try:
+        with pytest.raises(EngineError):
+            readers.read_bytes(b"%PDF", "pdf")
+        readers.register_pdf(lambda data: ["ﬁne text", "more"], nfkc=True)
+        assert readers.read_bytes(b"%PDF", ".PDF") == ("fine text\n\nmore\n", None, "application/pdf", 2)
+    finally:
+        readers.READERS.update(table)
+    (tmp_path / "a.md").write_text("# A")
+    assert readers.read_file(str(tmp_path / "a.md"))["text"] == "# A"
+    with pytest.raises(EngineError) as e:
+        readers.read_file(str(tmp_path / "none.txt"))
+    assert e.value.code == errors.READER_NOT_FOUND
+
+
+def test_fetching(spark):
+    def fetcher(url):
+        if url == "bad":
+            raise OSError("no route")
+        return "text/html", b"<h1>x</h1>" * (1 if url == "good" else 100)
+
+    got = {r.url: r for r in readers.fetch_pages(spark.createDataFrame([("good",), ("bad",), ("big",)], "url string"), fetcher, most=100).collect()}
+    assert got["good"].body and got["bad"].error.code == errors.READER_PARSE and got["big"].error.code == errors.READER_TOO_LARGE
