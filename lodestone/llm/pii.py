@@ -12,6 +12,7 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -289,23 +290,24 @@ def redact_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_char
 
 
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of every document; ``n_*`` count all spans, ``base_sha256`` digests the plain ones.
+    """Spans of every document. ``n_*`` and ``base_sha256`` are of the plain spans, ``spans`` and ``all_*`` of all.
 
-    ``base_n_*`` count the plain ones alone. An empty or null text has no span:
-    its counts are 0 and ``spans`` is empty.
+    An empty or null text has no span: its counts are 0 and ``spans`` is empty.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    fields = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", *(f"base_n_{k}" for k in KINDS)]
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, " + ", ".join(f"base_n_{k} long" for k in KINDS)
+    counts = [f"n_{k}" for k in KINDS], [f"all_{k}" for k in KINDS]
+    fields = ["doc_id", *counts[0], "base_sha256", "spans", *counts[1]]
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 4
 
     def run(batches):
         for b in batches:
             rows = []
             for t in b.column(1).to_pylist():
                 base, every = find_spans(t)
-                rows.append((*(sum(s[0] == k for s in every) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), *(sum(s[0] == k for s in base) for k in KINDS)))
+                n, total = (Counter(kind for kind, *_ in x) for x in (base, every))
+                rows.append((*(n[k] for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), *(total[k] for k in KINDS)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * (len(fields) - 1)
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], fields)
 
+    schema = ", ".join(f"{f} {'string' if f in ('base_sha256', 'spans') else 'long'}" for f in fields)
     return arrow_map(docs, run, schema)
