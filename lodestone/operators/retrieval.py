@@ -30,61 +30,77 @@ def vector_topk(chunks: DataFrame, query: Sequence[float], k: int = 10, chunk_id
     return ranked(top.drop(vector), [], F.desc("score"), F.asc(chunk_id)).withColumn("source", F.lit("vector"))
 
 
-def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int = 10, chunk_id: str = "chunk_id", vector: str = "embedding", query_id: str = "query_id", block: int = QUERY_BLOCK) -> DataFrame:
+def vector_topk_batch(
+    chunks: DataFrame, queries: DataFrame, k: int = 10, chunk_id: str = "chunk_id", vector: str = "embedding", query_id: str = "query_id", block: int = QUERY_BLOCK, group: str | None = None, groups: str | None = None
+) -> DataFrame:
     """``(query_id, chunk_id, score, pos)``: the top ``k`` for each of many query vectors, exactly.
 
     Queries come in blocks of ``block``; for each the chunks are scanned once, a
     matrix product scores a batch, and each task keeps ``k`` rows a query
-    before the shuffle. Rows are narrow: join texts afterwards.
+    before the shuffle. Rows are narrow: join texts afterwards. With ``group``,
+    a column of the chunks, and ``groups``, an array column of the queries, each
+    query meets the groups that it names and has a top ``k`` in each of them.
     """
     id_kind, q_kind = chunks.schema[chunk_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    wanted = queries.filter(F.size(vector) > 0).select(query_id, F.col(vector).cast("array<double>").alias("v"))
-    narrow = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"))
+    no_group = F.lit("").alias("g")
+    wanted = queries.filter(F.size(vector) > 0).select(query_id, F.col(vector).cast("array<double>").alias("v"), F.array_distinct(F.col(groups).cast("array<string>")).alias("g") if groups else F.array(F.lit("")).alias("g"))
+    narrow = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"), F.col(group).cast("string").alias("g") if group else no_group)
 
     def unit(rows: list, dim: int):
         x = np.array([r if r is not None and len(r) == dim and None not in r else [np.nan] * dim for r in rows], float).reshape(-1, dim)
         n = np.linalg.norm(x, axis=1)
         return x / np.where(n > 0, n, np.nan)[:, None]
 
-    def one(ids: list, vectors: list) -> DataFrame:
-        q_type = pa.array(ids).type
+    def one(asked: list) -> DataFrame:
+        q_type = pa.array([i for i, *_ in asked]).type
+        names = sorted({g for *_, own in asked for g in own}) if group else None
+        part = narrow.filter(F.col("g").isin(names)) if names is not None and len(names) <= 100 else narrow
 
         def run(batches):
-            blocks = {}
-            for i, v in zip(ids, vectors, strict=True):
-                blocks.setdefault(len(v), []).append((i, v))
-            blocks = {d: ([i for i, _ in b], unit([v for _, v in b], d)) for d, b in blocks.items()}
-            best: dict = {i: [] for i in ids}
+            by: dict = {}  # (group, length of the vector) -> queries
+            for i, v, own in asked:
+                for g in own:
+                    by.setdefault((g, len(v)), []).append((i, v))
+            by = {key: ([i for i, _ in b], unit([v for _, v in b], key[1])) for key, b in by.items()}
+            best: dict = {}
             kind = None
             for batch in batches:
                 kind = batch.schema.field(0).type
-                names, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for dim, (own, q) in blocks.items():
-                    s = np.round(q @ unit(rows, dim).T, DECIMALS)
+                rows: dict = {}
+                for n, v, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    rows.setdefault(g, ([], []))[0].append(n)
+                    rows[g][1].append(v)
+                for (g, dim), (ids, q) in by.items():
+                    if g not in rows:
+                        continue
+                    own, vectors = rows[g]
+                    s = np.round(q @ unit(vectors, dim).T, DECIMALS)
                     s[np.isnan(s)] = -np.inf
-                    for r, i in enumerate(own):
+                    for r, i in enumerate(ids):
                         # What ties with the k-th stays, so that ids decide.
                         bound = np.partition(s[r], -k)[-k] if s.shape[1] > k else -np.inf
                         at = np.nonzero((s[r] >= bound) & np.isfinite(s[r]))[0]
-                        best[i] = sorted([*best[i], *((-float(s[r, j]), names[j]) for j in at)], key=lambda x: (x[0], x[1] is None, x[1]))[:k]
+                        best[g, i] = sorted([*best.get((g, i), ()), *((-float(s[r, j]), own[j]) for j in at)], key=lambda x: (x[0], x[1] is None, x[1]))[:k]
             if kind is not None:
-                flat = [(i, n, -s) for i, b in best.items() for s, n in b]
-                cols = list(zip(*flat, strict=True)) if flat else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], q_type), pa.array(cols[1], kind), pa.array(cols[2], pa.float64())], ["query_id", "chunk_id", "score"])
+                flat = [(i, n, -s, g) for (g, i), b in best.items() for s, n in b]
+                cols = list(zip(*flat, strict=True)) if flat else [()] * 4
+                kinds = [q_type, kind, pa.float64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["query_id", "chunk_id", "score", "g"])
 
-        return narrow.mapInArrow(run, f"query_id {q_kind}, chunk_id {id_kind}, score double")
+        return part.mapInArrow(run, f"query_id {q_kind}, chunk_id {id_kind}, score double, g string")
 
-    found, ids, vectors = None, [], []
+    found, asked = None, []
     for r in wanted.toLocalIterator(prefetchPartitions=True):
-        ids.append(r[0])
-        vectors.append(r[1])
-        if len(ids) == block:
-            part, ids, vectors = one(ids, vectors), [], []
+        asked.append((r[0], r[1], r[2] or []))
+        if len(asked) == block:
+            part, asked = one(asked), []
             found = part if found is None else found.unionByName(part)
-    if ids or found is None:
-        part = one(ids, vectors) if ids else narrow.limit(0).select(F.lit(None).cast(q_kind).alias("query_id"), "chunk_id", F.lit(0.0).alias("score"))
+    if asked or found is None:
+        part = one(asked) if asked else narrow.limit(0).select(F.lit(None).cast(q_kind).alias("query_id"), "chunk_id", F.lit(0.0).alias("score"), "g")
         found = part if found is None else found.unionByName(part)
-    return ranked(found, ["query_id"], F.desc("score"), F.asc("chunk_id"), limit=k)
+    keys = ["query_id", "g"] if group else ["query_id"]
+    out = ranked(found, keys, F.desc("score"), F.asc("chunk_id"), limit=k)
+    return out.withColumnRenamed("g", group) if group else out.drop("g")
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text", extra: Sequence[str] = ()) -> DataFrame:
@@ -93,19 +109,20 @@ def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text",
     return exploded.groupBy(*extra, "chunk_id", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
-def query_terms(queries: DataFrame, query: str = "query", query_id: str = "query_id", segmented: str | None = None) -> DataFrame:
-    """``(query_id, term, n_terms)`` with distinct terms; ``segmented`` names a column with terms of another segmenter."""
+def query_terms(queries: DataFrame, query: str = "query", query_id: str = "query_id", segmented: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """``(query_id, term, n_terms)`` with distinct terms; ``segmented`` names a column with terms of another segmenter, ``extra`` columns to keep."""
     terms = F.array_distinct(F.filter(F.col(segmented), lambda t: F.trim(t) != "") if segmented else X.terms(query))
-    return queries.select(F.col(query_id).alias("query_id"), F.size(terms).alias("n_terms"), F.explode(terms).alias("term"))
+    return queries.select(F.col(query_id).alias("query_id"), *extra, F.size(terms).alias("n_terms"), F.explode(terms).alias("term"))
 
 
 def fulltext_topk(index: DataFrame, queries: DataFrame, k: int = 10, keys: Sequence[str] = ()) -> DataFrame:
     """The ``k`` best chunks that hold every term of a query; ``index`` as ``postings`` gives it, ``queries`` as ``query_terms``.
 
     The score grows with the term frequencies and lies in [0, 1): the mean of
-    tf / (tf + 1). ``keys`` are columns of the index that split the ranking.
+    tf / (tf + 1). ``keys`` are columns of both that must agree, with a ranking for
+    each of their values.
     """
-    hits = index.join(queries, "term")
+    hits = index.join(queries, ["term", *keys])
     scored = hits.groupBy("query_id", *keys, "chunk_id").agg(
         F.count("*").alias("found"), F.max("n_terms").alias("n_terms"), F.sum(F.col("tf") / (F.col("tf") + 1.0)).alias("s")
     )

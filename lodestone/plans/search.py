@@ -41,23 +41,12 @@ def extended(queries: DataFrame, config: SearchConfig, embedder: seams.Embedder,
 def recall(chunks: DataFrame, asked: DataFrame, config: SearchConfig, embedder: seams.Embedder, index: DataFrame | None = None, pause: float = 0.5) -> DataFrame:
     """Fused hits for each query and variant and dataset, then for each query: narrow rows without texts."""
     keys = ["query_id", "variant_idx", "dataset_id"]
-    asked = seams.embed(asked, embedder, "query", pause=pause).withColumn("part", F.concat_ws("\u0001", F.col("query_id").cast("string"), "variant_idx")).cache()
-    lists = []
-    # Datasets are a handful of ids; each is a partition of the chunks that its scan prunes.
-    for dataset in [r[0] for r in asked.select(F.explode("dataset_ids")).distinct().collect()]:
-        own = chunks.filter(F.col("dataset_id") == dataset)
-        part = asked.filter(F.array_contains("dataset_ids", dataset))
-        vector = retrieval.vector_topk_batch(own, part.select(F.col("part").alias("query_id"), "embedding"), config.top_k)
-        terms = retrieval.query_terms(part.select(F.col("part").alias("query_id"), "query"))
-        words = (index.filter(F.col("dataset_id") == dataset) if index is not None else retrieval.postings(own)).select("term", "chunk_id", "tf")
-        full = retrieval.fulltext_topk(words, terms, config.top_k)
-        both = vector.withColumn("source", F.lit("vector")).unionByName(full, allowMissingColumns=True)
-        lists.append(both.withColumn("dataset_id", F.lit(dataset)))
-    if not lists:
-        raise EngineError(SEARCH_INVALID, "no dataset is given")
-    hits = lists[0]
-    for more in lists[1:]:
-        hits = hits.unionByName(more)
+    asked = seams.embed(asked, embedder, "query", pause=pause).withColumn("part", F.concat_ws("\u0001", F.col("query_id").cast("string"), "variant_idx"))
+    vector = retrieval.vector_topk_batch(chunks, asked.select(F.col("part").alias("query_id"), "embedding", "dataset_ids"), config.top_k, group="dataset_id", groups="dataset_ids")
+    words = index if index is not None else retrieval.postings(chunks, extra=["dataset_id"])
+    by_dataset = asked.select(F.col("part").alias("query_id"), "query", F.explode(F.array_distinct("dataset_ids")).alias("dataset_id"))
+    full = retrieval.fulltext_topk(words, retrieval.query_terms(by_dataset, extra=["dataset_id"]), config.top_k, ["dataset_id"])
+    hits = vector.withColumn("source", F.lit("vector")).unionByName(full, allowMissingColumns=True)
     hits = hits.withColumnRenamed("query_id", "part").join(asked.select("part", "query_id", "variant_idx"), "part").drop("part")
     hits = hits.withColumn("group_idx", F.when(F.col("source") == "vector", 0).otherwise(1))
     fused = fusion.fuse(hits, keys, (config.vector_weight, config.fulltext_weight), config.rrf_k)
