@@ -72,7 +72,9 @@ def terms(text: Column | str) -> Column:
     pairs = lambda w: F.filter(
         F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(2))), lambda p: p.rlike(rf"^{CJK}{{2}}$")
     )
-    return F.flatten(F.transform(words, lambda w: F.when(has_ideograph(w), F.concat(singles(w), pairs(w))).otherwise(F.array(w))))
+    cut = F.flatten(F.transform(words, lambda w: F.when(has_ideograph(w), F.concat(singles(w), pairs(w))).otherwise(F.array(w))))
+    whole = F.col(text) if isinstance(text, str) else text
+    return F.when(whole.rlike(CJK), cut).otherwise(words)  # most texts need the words alone
 
 
 def heuristic_tokens(text: Column | str) -> Column:

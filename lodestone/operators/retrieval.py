@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
 from lodestone.operators.fusion import ranked
+from lodestone.session import spread
 
 #: Decimals of a score: engines agree to these, and ties are broken by id.
 DECIMALS = 6
@@ -103,9 +104,16 @@ def vector_topk_batch(
     return out.withColumnRenamed("g", group) if group else out.drop("g")
 
 
-def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text", extra: Sequence[str] = ()) -> DataFrame:
-    """``(term, chunk_id, tf)`` and ``extra`` columns: the inverted index, to be written bucketed by ``term``."""
-    exploded = chunks.select(*extra, F.col(chunk_id).alias("chunk_id"), F.explode(X.terms(text)).alias("term"))
+def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text", extra: Sequence[str] = (), only: DataFrame | None = None) -> DataFrame:
+    """``(term, chunk_id, tf)`` and ``extra`` columns: the inverted index, to be written in order of ``term``.
+
+    ``only``, a frame with a column ``term``, keeps the index to those terms
+    before anything is shuffled by chunk.
+    """
+    own = spread(chunks.select(*extra, F.col(chunk_id).alias("chunk_id"), F.col(text).alias("_text")))
+    exploded = own.select(*extra, "chunk_id", F.explode(X.terms("_text")).alias("term"))
+    if only is not None:
+        exploded = exploded.join(only.select("term").distinct(), "term", "left_semi")
     return exploded.groupBy(*extra, "chunk_id", "term").agg(F.count("*").cast("int").alias("tf"))
 
 

@@ -37,14 +37,13 @@ def vector_topk_batch(spark, sf_dir):
 _TEXT_QUERIES = [(1, "the that"), (2, "of the and"), (3, "la de que"), (4, "der und")]
 
 
-def _postings(spark, sf_dir) -> DataFrame:
-    """Only the terms that are asked for are exploded further."""
-    return retrieval.postings(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+def _postings(spark, sf_dir, only: DataFrame | None = None) -> DataFrame:
+    return retrieval.postings(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), only=only)
 
 
 def _fulltext(spark, sf_dir, queries) -> DataFrame:
     asked = retrieval.query_terms(spark.createDataFrame(queries, "query_id int, query string"))
-    return retrieval.fulltext_topk(_postings(spark, sf_dir), F.broadcast(asked))
+    return retrieval.fulltext_topk(_postings(spark, sf_dir, asked), asked)
 
 
 def fulltext_and_topk(spark, sf_dir):

@@ -41,6 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out evenly where an input has fewer partitions than there are cores; others stay as they are.
+
+    For steps that spend far more on a row than moving it costs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone import errors
 from lodestone.errors import EngineError
+from lodestone.session import spread
 from lodestone.sources import encoding, office, pdf_text
 from lodestone.sources.html import html_to_markdown
 
@@ -142,7 +143,7 @@ def read_pages(pages: DataFrame, url: str = "url", body: str = "html", content_t
             kinds = [pa.string()] * 3 + [pa.struct([("code", pa.string()), ("message", pa.string())])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["url", "extension", "text", "format_text", "mime", "error"])
 
-    out = source.mapInArrow(run, "url string, extension string, text string, format_text string, mime string, error struct<code:string,message:string>")
+    out = spread(source).mapInArrow(run, "url string, extension string, text string, format_text string, mime string, error struct<code:string,message:string>")
     return out.withColumn("filename", U.filename_of(F.col("url")))
 
 
