@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_map, table
+from lodestone.session import spread
 
 UNIT = 64
 SAMPLE_BYTES = 1024
@@ -195,6 +196,6 @@ def media_digest(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as an ISO media file, read back and digested; ``n_bytes`` is its length in UTF-8 before padding."""
-    docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")).alias("key"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.struct("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")).alias("key"), "text"))
     found = media_digest(store_media(docs, "key"), "key")
     return found.select("key.doc_id", "key.n_bytes", *[c for c in found.columns if c != "key"])

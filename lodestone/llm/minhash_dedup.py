@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_map, table
 from lodestone.llm.components import connected_components
-from lodestone.session import materialise
+from lodestone.session import materialise, spread
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -141,7 +141,7 @@ def signatures(docs: DataFrame, key: str, text: str, m: int = REGISTERS, bands:
             kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
-    return arrow_map(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), run, f"id {kind}, content binary, n long, bands array<long>, sig binary")
+    return arrow_map(spread(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))), run, f"id {kind}, content binary, n long, bands array<long>, sig binary")
 
 
 def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:

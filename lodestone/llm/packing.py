@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_map, table
+from lodestone.session import spread
 
 LENGTH = 1024
 OPEN_WINDOWS = 256
@@ -157,4 +158,4 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 1024 tokens."""
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

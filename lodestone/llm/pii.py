@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_map, table
+from lodestone.session import spread
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -294,7 +295,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     An empty or null text has no span: its counts are 0 and ``spans`` is empty.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [f"n_{k}" for k in KINDS], [f"all_{k}" for k in KINDS]
     fields = ["doc_id", *counts[0], "base_sha256", "spans", *counts[1]]
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 4

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_map, table
+from lodestone.session import spread
 
 #: Distinct texts on which the scorer is fitted, those with the smallest hashes; EM uses all rows.
 TRAIN_ROWS = 8_000
@@ -258,5 +259,5 @@ def score(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str =
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents by a scorer that learned from weak labels."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return score(docs, fit(docs))

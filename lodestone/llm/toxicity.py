@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_map, table
 from lodestone.llm.pii import HOMOGLYPHS
-from lodestone.session import materialise
+from lodestone.session import materialise, spread
 
 #: Signs and digits that stand for letters (fixed values).
 SUBSTITUTIONS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "+": "t"}
@@ -189,7 +189,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Toxici
     numbers for each row.
     """
     sample = labelled.filter(F.col(label).isNotNull()).select(F.col(text).alias("text"), (F.col(label) > 0).cast("int").alias("toxic"))
-    sample = materialise(sample, "toxicity-sample")
+    sample = spread(materialise(sample, "toxicity-sample"))
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return ToxicityModel()
@@ -256,5 +256,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a lexicon learned from the labelled rows outside the held-out ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
-    scored = score(docs, model)
+    scored = score(spread(docs), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
