@@ -8,11 +8,9 @@ on the copy, and what they find is mapped back to source characters.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -250,10 +248,6 @@ def redact(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def _joined(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-
-
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``key``, ``base`` and ``spans`` (arrays of kind, start, end in code points)."""
     span = "array<struct<kind:string,start:long,end:long>>"
@@ -295,20 +289,9 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     An empty or null text has no span: its counts are 0 and ``spans`` is empty.
     """
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [f"n_{k}" for k in KINDS], [f"all_{k}" for k in KINDS]
-    fields = ["doc_id", *counts[0], "base_sha256", "spans", *counts[1]]
-    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 4
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for t in b.column(1).to_pylist():
-                base, every = find_spans(t)
-                n, total = (Counter(kind for kind, *_ in x) for x in (base, every))
-                rows.append((*(n[k] for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), *(total[k] for k in KINDS)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * (len(fields) - 1)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], fields)
-
-    schema = ", ".join(f"{f} {'string' if f in ('base_sha256', 'spans') else 'long'}" for f in fields)
-    return arrow_map(docs, run, schema)
+    found = detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda c, kind: F.size(F.filter(c, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count("base", k).alias(f"n_{k}") for k in KINDS], F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), *[count("spans", k).alias(f"all_{k}") for k in KINDS]
+    )
