@@ -19,7 +19,8 @@ from lodestone.llm.components import connected_components, local_components
 from lodestone.session import materialise
 
 THRESHOLD = 0.95
-TILE = 4096
+#: Bytes of the vectors in a tile: 4,096 of 64 dimensions, fewer of more.
+TILE_BYTES = 1 << 20
 ROWS = 512
 GRID_DIMS = 2
 LEAD_DIMS = 16
@@ -128,7 +129,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     Copies are collapsed first. A pair of tiles yields counts and a spanning
     forest, never all of its links, so a group of n near copies costs
     comparisons but not n * n rows. No group is held by one task: a hot cell
-    is cut into tiles of about ``TILE`` vectors.
+    is cut into tiles of about ``TILE_BYTES``.
     """
     spark = rows.sparkSession
     own = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("vector"))
@@ -156,7 +157,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     cells = arrow_map(distinct.select("uid", "n", "vector"), celled, "uid long, n long, dim int, cell array<int>, raw binary")
     cells = materialise(cells, "cells")
-    sizes = cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    sizes = cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") * F.col("dim") * 4 / TILE_BYTES).alias("parts"))
     tiles = cells.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("uid"), "parts"))
     tiles = tiles.groupBy("dim", "cell", "part").agg(F.collect_list(F.struct("uid", "n", "raw")).alias("v"))
 

@@ -69,11 +69,11 @@ def test_embeddings_match_brute_force(spark):
     centres = rng.normal(size=(12, 16))
     x = centres[rng.integers(0, 12, 500)] + rng.normal(size=(500, 16)) * rng.choice([0.0, 0.1, 0.22], 500)[:, None]
     x = x.astype(np.float32)
-    old, embedding_dedup.TILE = embedding_dedup.TILE, 40
+    old, embedding_dedup.TILE_BYTES = embedding_dedup.TILE_BYTES, 40 * 16 * 4
     try:
         got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
     finally:
-        embedding_dedup.TILE = old
+        embedding_dedup.TILE_BYTES = old
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     near = u @ u.T >= 0.95
     np.fill_diagonal(near, False)
