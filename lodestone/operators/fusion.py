@@ -29,24 +29,28 @@ def _greatest_map(a: Column, b: Column) -> Column:
     return F.map_zip_with(F.coalesce(a, empty), F.coalesce(b, empty), lambda _, x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(F.greatest(x, y)))
 
 
-def fuse(groups: DataFrame, keys: Sequence[str] = ("query_id",), weights: Sequence[float] | None = None, k: int = RRF_K, group: str = "group_idx") -> DataFrame:
+def fuse(groups: DataFrame, keys: Sequence[str] = ("query_id",), weights: Sequence[float] | str | None = None, k: int | str = RRF_K, group: str = "group_idx") -> DataFrame:
     """Σ weight / (k + pos) of each chunk over its groups.
 
     ``groups`` holds all groups, numbered from 0 by ``group``. The first sight of
     a chunk (by group, then ``pos``) gives all other fields; its breakdown starts
     from its own map and takes the highest score of every source it was seen
     with. A chunk twice in a group counts twice. Ties go by ``chunk_id``.
-    ``group`` must have a weight: one without raises at run time.
+    ``weights`` has one for each group (a group without raises at run time) or
+    names a column that holds it, as ``k`` may.
     """
-    if weights is None:
+    own_columns = {c for c in (weights, k) if isinstance(c, str)}
+    if isinstance(weights, str):
+        weight = F.col(weights)
+    elif weights is None:
         weight = F.lit(1.0)
     else:
         values = F.array(*[F.lit(float(w)) for w in weights])
         weight = F.when(F.col(group) < len(weights), F.get(values, F.col(group))).otherwise(F.raise_error(F.lit("groups and weights differ in number")).cast("double"))
-    first = [c for c in groups.columns if c not in {*keys, "chunk_id", group, "pos", "score", "score_breakdown"}]
+    first = [c for c in groups.columns if c not in {*keys, *own_columns, "chunk_id", group, "pos", "score", "score_breakdown"}]
     has_map = "score_breakdown" in groups.columns
     own = F.col("score_breakdown") if has_map else F.create_map().cast("map<string,double>")
-    rows = groups.select(*keys, "chunk_id", group, "pos", F.col("source").alias("_source"), F.col("score").alias("_score"), F.struct(*first, own.alias("_map")).alias("_first"), (weight / (F.lit(k) + F.col("pos"))).alias("_part"))
+    rows = groups.select(*keys, "chunk_id", group, "pos", F.col("source").alias("_source"), F.col("score").alias("_score"), F.struct(*first, own.alias("_map")).alias("_first"), (weight / ((F.col(k) if isinstance(k, str) else F.lit(k)) + F.col("pos"))).alias("_part"))
     # One row for each source first: highest score, share of the sum, earliest sight.
     sight = F.struct(group, "pos")
     per_source = rows.groupBy(*keys, "chunk_id", "_source").agg(F.sum("_part").alias("_part"), F.max("_score").alias("_score"), F.min(sight).alias("_at"), F.min_by("_first", sight).alias("_first"))

@@ -29,15 +29,17 @@ def content_hash(chunks: DataFrame, keys: tuple[str, ...] = ("document_id",), in
     return rows.select(*keys, F.sha2(F.encode(whole, "utf-8"), 256).alias("content_hash"))
 
 
-def create_datasets(datasets: DataFrame, names: DataFrame, embed_model: str, embed_dim: int, now: Column) -> DataFrame:
-    """Existing datasets and, with defaults, those of ``names(name)`` that no active one has."""
+def create_datasets(datasets: DataFrame, names: DataFrame, embed_model: str, embed_dim: int, now: Column, settings: Mapping[str, object] | None = None) -> DataFrame:
+    """Existing datasets and those of ``names(name)`` that no active one has, with defaults where ``settings`` has no value."""
+    if unknown := set(settings or ()) - {*DATASET_DEFAULTS, "rerank_model", "system_prompt"}:
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
     wanted = names.filter("name is not null and trim(name) <> ''").select("name").distinct().join(active(datasets).select("name"), "name", "left_anti")
     values: Mapping[str, Column] = {
         "id": stable_id(F.lit("dataset"), "name"),
         "name": F.col("name"),
         "embed_model": F.lit(embed_model),
         "embed_dim": F.lit(embed_dim),
-        **{c: F.lit(v) for c, v in DATASET_DEFAULTS.items()},
+        **{c: F.lit(v) for c, v in {**DATASET_DEFAULTS, **(settings or {})}.items()},
         "created_at": now,
         "updated_at": now,
     }

@@ -72,7 +72,7 @@ class IngestReport:
     warnings: list[str] = field(default_factory=list)
 
 
-def ingest_texts(warehouse: Warehouse, texts: DataFrame, dataset: str, embedder: seams.Embedder | None = None, settings: ChunkSettings | None = None, embed_model: str = "hash", embed_dim: int = 64, restructure=None, mode: str = "auto", pause: float = 0.5) -> IngestReport:
+def ingest_texts(warehouse: Warehouse, texts: DataFrame, dataset: str, embedder: seams.Embedder | None = None, settings: ChunkSettings | None = None, embed_model: str = "hash", embed_dim: int = 64, restructure=None, mode: str = "auto", pause: float = 0.5, dataset_settings: dict | None = None) -> IngestReport:
     """``texts(filename, text, format_text, page_count, error)`` into the dataset of that name, made if it is new.
 
     A known filename becomes the next generation and its old chunks are deleted
@@ -82,7 +82,7 @@ def ingest_texts(warehouse: Warehouse, texts: DataFrame, dataset: str, embedder:
     """
     spark, now = warehouse.spark, F.current_timestamp()
     embedder = embedder or seams.HashEmbedder(embed_dim)
-    datasets = store.create_datasets(warehouse.read("datasets"), spark.createDataFrame([(dataset,)], "name string"), embed_model, embed_dim, now)
+    datasets = store.create_datasets(warehouse.read("datasets"), spark.createDataFrame([(dataset,)], "name string"), embed_model, embed_dim, now, dataset_settings)
     warehouse.commit("datasets", datasets)
     dataset_id = store.dataset_by(warehouse.read("datasets"), "name", dataset).first()["id"]
 
@@ -102,7 +102,8 @@ def ingest_texts(warehouse: Warehouse, texts: DataFrame, dataset: str, embedder:
     mine = running.filter((F.col("dataset_id") == dataset_id) & F.col("deleted_at").isNull()).join(incoming.select("filename", "read_error").distinct(), "filename")
 
     stale = mine.filter(~F.col("is_resume")).select(F.col("id").alias("document_id"))
-    old = store.soft_delete(warehouse.read("chunks"), stale, now)
+    stored = warehouse.read("chunks")
+    old = store.soft_delete(stored, stale, now)
     versions = mine.select(F.col("id").alias("document_id"), "generation")
     todo = store.pending_chunks(chunks.drop("document_id").join(mine.select("filename", F.col("id").alias("document_id"), "generation"), "filename"), old)
     embedded = seams.embed(todo, embedder, pause=pause)
@@ -118,7 +119,10 @@ def ingest_texts(warehouse: Warehouse, texts: DataFrame, dataset: str, embedder:
     outcome = outcome.select("id", F.when(code.isNull(), "completed").otherwise("failed").alias("status"), code.alias("error_code"))
     warehouse.commit("documents", store.mark_status(running.drop("is_resume"), outcome, now))
     done = warehouse.read("documents").join(versions.select(F.col("document_id").alias("id")), "id", "left_semi")
-    return IngestReport(done.select("id", "filename", "status", "error_code", "generation", "total_chunks"))
+    count = lambda df, name: schema.active(df).groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias(name))
+    done = done.join(count(stored, "old_chunks"), "id", "left").join(count(fresh, "new_chunks"), "id", "left")
+    done = done.withColumn("old_chunks", F.coalesce("old_chunks", F.lit(0))).withColumn("new_chunks", F.coalesce("new_chunks", F.lit(0)))
+    return IngestReport(done.select("id", "filename", "status", "error_code", "generation", "total_chunks", "old_chunks", "new_chunks"))
 
 
 def ingest_paths(warehouse: Warehouse, paths: list[str], dataset: str, **options) -> IngestReport:

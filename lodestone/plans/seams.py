@@ -75,6 +75,47 @@ def embed(rows: DataFrame, embedder: Embedder, text: str = "text", vector: str =
     return out.select("row.*", F.col("v").alias(vector), F.col("e").alias("embed_error"))
 
 
+def structured_value(reply, field: str | None = None) -> tuple[object, str | None]:
+    """(value, None) of a model's reply or (None, why there is none).
+
+    A reply is a value, an object or dict with ``field``, or a dict of
+    ``parsed``, ``parsing_error`` and ``raw``.
+    """
+    if reply is None:
+        return None, "no reply"
+    if isinstance(reply, dict) and "parsed" in reply:
+        if reply.get("parsing_error"):
+            return None, f"not parsed: {reply['parsing_error']}"
+        reply = reply["parsed"]
+        if reply is None:
+            return None, "nothing was parsed"
+    if field is None:
+        return reply, None
+    value = reply.get(field) if isinstance(reply, dict) else getattr(reply, field, None)
+    return value, None if value is not None else f"no {field} in the reply"
+
+
+def propose_variants(queries: DataFrame, provider: Callable[[str], object], query: str = "query", most: int = 50, pause: float = 0.5) -> DataFrame:
+    """Adds ``candidates``: what ``provider`` makes of a query (a list, or a reply with ``variants``), the query alone where it fails."""
+    keep = [c for c in queries.columns if c != "candidates"]
+    source = queries.select(F.struct(*keep).alias("row"), F.col(query).alias("q"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for q in b.column(1).to_pylist():
+                try:
+                    reply = with_retries(provider, q, pause=pause)
+                    found = reply if isinstance(reply, list) else structured_value(reply, "variants")[0]
+                    found = [v for v in found or [] if isinstance(v, str) and v.strip()][:most]
+                except Exception:  # the query stands for itself
+                    found = []
+                out.append(found or [q])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["row", "candidates"])
+
+    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, candidates array<string>").select("row.*", "candidates")
+
+
 def rerank_scores(hits: DataFrame, reranker: Reranker, query: str = "query", text: str = "text", keys: Sequence[str] = ("query_id",)) -> DataFrame:
     """``(keys, chunk_id, rerank_score)`` of a query's texts, which are no more than its retrievers gave; a failing query has no row."""
     lists = hits.groupBy(*keys).agg(F.first(query).alias("q"), F.array_sort(F.collect_list(F.struct("pos", "chunk_id", F.coalesce(F.col(text), F.lit("")).alias("t")))).alias("l"))

@@ -38,8 +38,12 @@ def extended(queries: DataFrame, config: SearchConfig, embedder: seams.Embedder,
     return chosen.join(base.select("query_id", "dataset_ids"), "query_id").select("query_id", "dataset_ids", "variant_idx", "query")
 
 
-def recall(chunks: DataFrame, asked: DataFrame, config: SearchConfig, embedder: seams.Embedder, index: DataFrame | None = None, pause: float = 0.5) -> DataFrame:
-    """Fused hits for each query and variant and dataset, then for each query: narrow rows without texts."""
+def recall(chunks: DataFrame, asked: DataFrame, config: SearchConfig, embedder: seams.Embedder, index: DataFrame | None = None, pause: float = 0.5, datasets: DataFrame | None = None) -> DataFrame:
+    """Fused hits for each query and variant and dataset, then for each query: narrow rows without texts.
+
+    Weights and k of a dataset come from ``datasets`` where they are set there,
+    else from ``config``.
+    """
     keys = ["query_id", "variant_idx", "dataset_id"]
     asked = seams.embed(asked, embedder, "query", pause=pause).withColumn("part", F.concat_ws("\u0001", F.col("query_id").cast("string"), "variant_idx"))
     vector = retrieval.vector_topk_batch(chunks, asked.select(F.col("part").alias("query_id"), "embedding", "dataset_ids"), config.top_k, group="dataset_id", groups="dataset_ids")
@@ -50,12 +54,20 @@ def recall(chunks: DataFrame, asked: DataFrame, config: SearchConfig, embedder:
     hits = vector.withColumn("source", F.lit("vector")).unionByName(full, allowMissingColumns=True)
     hits = hits.withColumnRenamed("query_id", "part").join(asked.select("part", "query_id", "variant_idx"), "part").drop("part")
     hits = hits.withColumn("group_idx", F.when(F.col("source") == "vector", 0).otherwise(1))
-    fused = fusion.fuse(hits, keys, (config.vector_weight, config.fulltext_weight), config.rrf_k)
+    is_vector = F.col("source") == "vector"
+    default = F.when(is_vector, F.lit(config.vector_weight)).otherwise(F.lit(config.fulltext_weight))
+    if datasets is None:
+        hits = hits.withColumn("_weight", default).withColumn("_k", F.lit(config.rrf_k))
+    else:
+        own = datasets.select(F.col("id").alias("dataset_id"), "vector_weight", "fulltext_weight", "rrf_k")
+        hits = hits.join(own, "dataset_id", "left").withColumn("_weight", F.coalesce(F.when(is_vector, F.col("vector_weight")).otherwise(F.col("fulltext_weight")), default))
+        hits = hits.withColumn("_k", F.coalesce("rrf_k", F.lit(config.rrf_k))).drop("vector_weight", "fulltext_weight", "rrf_k")
+    fused = fusion.fuse(hits, keys, "_weight", "_k")
     fused = fusion.refuse(fused, "dataset_id", ["query_id", "variant_idx"], config.rrf_k)
     return fusion.refuse(fused, "variant_idx", ["query_id"], config.rrf_k)
 
 
-def search(chunks: DataFrame, queries: DataFrame, config: SearchConfig | None = None, embedder: seams.Embedder | None = None, reranker: seams.Reranker | None = None, index: DataFrame | None = None, pause: float = 0.5) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, config: SearchConfig | None = None, embedder: seams.Embedder | None = None, reranker: seams.Reranker | None = None, index: DataFrame | None = None, pause: float = 0.5, datasets: DataFrame | None = None) -> DataFrame:
     """Cited hits of ``queries(query_id, query, dataset_ids)``: ranked, filtered, expanded and numbered.
 
     Texts join last, when few rows are left. A stage without its model leaves
@@ -64,7 +76,7 @@ def search(chunks: DataFrame, queries: DataFrame, config: SearchConfig | None =
     config, embedder = config or SearchConfig(), embedder or seams.HashEmbedder()
     stored = schema.active(chunks).withColumnRenamed("id", "chunk_id")
     asked = extended(queries, config, embedder, pause)
-    hits = recall(stored, asked, config, embedder, index, pause)
+    hits = recall(stored, asked, config, embedder, index, pause, schema.active(datasets) if datasets is not None else None)
     hits = hits.join(stored.select("chunk_id", *HIT_FIELDS), "chunk_id").withColumn("rerank_score", F.lit(None).cast("double"))
     if config.use_rerank and reranker is not None:
         scores = seams.rerank_scores(hits.join(queries.select("query_id", "query"), "query_id"), reranker)

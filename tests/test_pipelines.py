@@ -29,7 +29,8 @@ def test_versions_and_soft_delete(spark, warehouse):
     first = ingest_texts(warehouse, texts(spark, a="Apples are red.", b="Bears are brown.", c=None), "one")
     got = {r.filename: r for r in first.documents.collect()}
     assert got["a"].status == "completed" and got["c"].status == "failed" and got["c"].error_code == "reader.parse" and got["a"].total_chunks == 1
-    ingest_texts(warehouse, texts(spark, a="Apples are green."), "one")
+    second = ingest_texts(warehouse, texts(spark, a="Apples are green."), "one").documents.first()
+    assert (second.old_chunks, second.new_chunks) == (1, 1)
     docs = {r.filename: r for r in warehouse.read("documents").collect()}
     assert docs["a"].generation == 2 and docs["b"].generation == 1
     chunks = warehouse.read("chunks")
@@ -90,6 +91,35 @@ def test_variants(spark, warehouse):
     assert search.search(warehouse.read("chunks"), queries, SearchConfig(top_k=2)).count() == 2
 
 
+def test_weights_of_a_dataset(spark, warehouse):
+    ingest_texts(warehouse, texts(spark, a="Apples are red fruit."), "one", dataset_settings={"rrf_k": 9, "vector_weight": 1.0, "fulltext_weight": 0.0})
+    with pytest.raises(ValueError):
+        ingest_texts(warehouse, texts(spark, a="x"), "two", dataset_settings={"colour": 1})
+    datasets = warehouse.read("datasets")
+    queries = spark.createDataFrame([("1", "apples are red", [datasets.first()["id"]])], "query_id string, query string, dataset_ids array<string>")
+    asked = search.extended(queries, SearchConfig(), seams.HashEmbedder())
+    chunks = warehouse.read("chunks").withColumnRenamed("id", "chunk_id")
+    from lodestone.operators import fusion, retrieval
+
+    plain = search.recall(chunks, asked, SearchConfig(), seams.HashEmbedder(), datasets=datasets)
+    assert plain.count() == 1 and search.search(warehouse.read("chunks"), queries, datasets=datasets).count() == 1
+    hits = spark.createDataFrame([(1, 0, 1, "a", "vector", 0.5, 1.0, 9)], "query_id int, group_idx int, pos int, chunk_id string, source string, score double, _weight double, _k int")
+    assert fusion.fuse(hits, weights="_weight", k="_k").first().score == 0.1 and retrieval.QUERY_BLOCK > 0
+
+
+def test_replies_and_proposals(spark):
+    assert seams.structured_value({"parsed": {"variants": ["a"]}, "parsing_error": None, "raw": ""}, "variants") == (["a"], None)
+    assert seams.structured_value(None)[1] and seams.structured_value({"parsed": None})[1] and seams.structured_value({"parsed": 1, "parsing_error": "x"})[1] and seams.structured_value({"a": 1}, "b")[1]
+
+    def provider(q):
+        if q == "bad":
+            raise RuntimeError
+        return {"variants": [q + "?", " ", 3]} if q == "dict" else ["x"] * 60
+
+    got = {r["query"]: r.candidates for r in seams.propose_variants(spark.createDataFrame([("bad",), ("dict",), ("list",)], "query string"), provider, pause=0).collect()}
+    assert got == {"bad": ["bad"], "dict": ["dict?"], "list": ["x"] * 50}
+
+
 def test_requests_are_checked():
     for bad in ({"top_k": 0}, {"top_k": True}, {"vector_weight": -1.0}, {"parent_decay": 2.0}):
         with pytest.raises(EngineError):
