@@ -336,8 +336,8 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     form classes like others, and stay unless a keyed row shares their class.
     """
     found = near_duplicates(docs, key, text, threshold)
-    own = found.filter(F.col("kept") | F.col("component_id").isNull()).select(F.col(key).alias("kept_key")).distinct()
-    return docs.join(own, F.col(key).eqNullSafe(F.col("kept_key")), "left_semi")
+    own = found.filter(F.col("kept") | F.col("component_id").isNull()).select(F.col(key).alias("_kept_key")).distinct()
+    return docs.join(own, docs[key].eqNullSafe(own["_kept_key"]), "left_semi")
 
 
 def _matching(pages: DataFrame) -> DataFrame:

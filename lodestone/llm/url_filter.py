@@ -78,7 +78,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     ).first()
     labels, lengths = ([int(x) for x in part] for part in sizes)
     own = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    parts = urls.select(url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), *own)
+    parts = urls.select(url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
+    own = [F.col(f"row.`{c}`").alias(c) for c in own]
     if not labels:
         return parts.select(*own, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     suffixes = F.transform(

@@ -22,7 +22,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    schema = "doc_id long, text string, id string, bucket string, score string, source string, n_chars long, row string, component string, kept string"
+    schema = "doc_id long, text string, id string, bucket string, score string, source string, n_chars long, row string, _kept_key string, kept string"
     return spark.createDataFrame([(i, t, "x", "y", "z", "s", 1, "r", "c", "k") for i, t in TEXTS], schema).repartition(3)
 
 
@@ -62,7 +62,7 @@ def test_language_model(docs, spark):
 
 def test_urls(spark):
     urls = ["http://a.example.com/en/7", "HTTPS://EXAMPLE.com/en/7?x=1", "http://com/en/", None, "no scheme", "http://net", "http://x.net#f", "http://..com/en/x", "http://example.com/en/7"]
-    table = spark.createDataFrame([(i, u, "own", "old") for i, u in enumerate(urls)], "page_id long, url string, key string, host string")
+    table = spark.createDataFrame([(i, u, "own", "old") for i, u in enumerate(urls)], "page_id long, url string, best string, host string")
     table = table.unionByName(table.filter("page_id = 0"))
     got = rows_of(url_filter.judge_urls(table, url_filter.rules_frame(spark, url_filter.RULES)), "page_id")
     assert len(got[0]) == 2 and {r.rule for r in got[0]} == {"example.com/en/7"} and got[0][0].verdict == "allow"
