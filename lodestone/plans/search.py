@@ -98,6 +98,7 @@ def answer(cited: DataFrame, queries: DataFrame, writer: seams.Writer = seams.ex
     rows = rows.withColumn("n_citations", F.greatest("n_citations", F.lit(0)))
     rows = citations.check(rows).withColumn("positions", citations.positions("response", F.sequence(F.lit(1), F.greatest("n_citations", F.lit(1)))))
     if datasets is not None:
-        known = schema.active(datasets).agg(F.collect_set("id").alias("known"))
-        rows = rows.join(F.broadcast(known)).withColumn("failed_dataset_ids", F.filter("dataset_ids", lambda d: ~F.array_contains("known", d))).drop("known")
+        asked = queries.select("query_id", F.posexplode("dataset_ids").alias("i", "id"))
+        missing = asked.join(schema.active(datasets).select("id"), "id", "left_anti").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("i", "id"))).alias("m"))
+        rows = rows.join(missing, "query_id", "left").withColumn("failed_dataset_ids", F.coalesce(F.transform("m", lambda x: x["id"]), F.array().cast("array<string>"))).drop("m")
     return rows
