@@ -23,7 +23,7 @@ EXPONENT = 0.5
 #: Rows that one window task ranks, about.
 RANK_ROWS = 4_096
 #: The schedule of a cycle is one row; more sources than these are refused.
-MAX_SOURCES = 4096
+MAX_SOURCES = 1024
 
 
 def source_shares(docs: DataFrame, source: str = "source", targets: dict[str | None, float] | None = None, exponent: float = EXPONENT, cycle: int = CYCLE) -> DataFrame:
