@@ -102,6 +102,11 @@ _ATWORD = "at|arroba|arobase|ät"
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:{_WORD})|[0-9]++)(?:(?:[ \-.,]{{1,2}}| (?:{_DOTWORD}) )(?:(?:{_WORD})(?!\w)|[0-9]++))+(?!\w)", re.I)
 _TOKEN = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.I)
 _SPELLED_DOT = re.compile(rf" (?:{_DOTWORD}) ", re.I)
+_OCTET = rf"(?:[0-9]++|(?<!\w)(?:{_WORD})(?:[ \-](?:{_WORD})){{0,2}}(?!\w))"
+_GAP = rf"(?:\s{{1,2}}(?:{_DOTWORD})\s{{1,2}}|\s{{0,2}}[\[({{<]\s{{0,2}}(?:{_DOTWORD}|\.)\s{{0,2}}[\])}}>]\s{{0,2}}|\.)"
+_SPOKEN_IP = re.compile(rf"(?<![0-9]){_OCTET}(?:{_GAP}{_OCTET}){{3,}}", re.I)
+_SPOKEN_PARTS = re.compile(rf"(?P<dot>{_GAP})|(?P<word>{_WORD})|(?P<sep>[ \-])", re.I)
+_DOT_DIGIT = re.compile(rf"(?:{_DOTWORD})[\])}}>\s]\s{{0,2}}(?:[0-9]|(?:{_WORD})(?!\w))", re.I)
 _PLUS = re.compile(r"(?<!\w)(?:plus|más)[ ]{1,2}(?=[0-9(])", re.I)
 _AT = re.compile(rf"\s{{0,2}}[\[({{<]\s{{0,2}}(?:{_ATWORD}|@)\s{{0,2}}[\])}}>]\s{{0,2}}", re.I)
 _DOT = re.compile(rf"\s{{0,2}}[\[({{<]\s{{0,2}}(?:{_DOTWORD}|\.)\s{{0,2}}[\])}}>]\s{{0,2}}", re.I)
@@ -188,6 +193,14 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
     return [(m.start() + p.start(), m.start() + p.end(), to[p.lastgroup](p[0])) for p in parts.finditer(m[0])]
 
 
+def _spoken_ip(m: re.Match) -> list[tuple[int, int, str]]:
+    """Four numbers or more, in digits or digit words, between dots of which one at least is spoken: a dotted number."""
+    if not re.search(_DOTWORD, m[0], re.I):
+        return []
+    to = {"dot": lambda _: ".", "word": lambda w: DIGIT_WORDS[w.lower()], "sep": lambda _: ""}
+    return [(m.start() + p.start(), m.start() + p.end(), to[p.lastgroup](p[0])) for p in _SPOKEN_PARTS.finditer(m[0])]
+
+
 def _edits(pattern: re.Pattern, text: str, to) -> list[tuple[int, int, str]]:
     if callable(to):
         return [e for m in pattern.finditer(text) for e in to(m)]
@@ -202,6 +215,8 @@ def hidden_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         return []
     view = _Mapped(plain)
     view.edit(_edits(_HIDDEN, view.text, ""))
+    if _DOT_DIGIT.search(view.text):
+        view.edit(_edits(_SPOKEN_IP, view.text, _spoken_ip))
     if spelled or _SPELL_TRIGGER.search(view.text):
         view.edit(_edits(_SPELLED, view.text, _spelled))
     view.edit(_edits(_PLUS, view.text, "+"))
