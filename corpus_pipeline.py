@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document in a sequence, with its token ids."""
-    return packing.pack(docs, with_ids=True)
+    """One row for each piece of a document in a sequence, with its token ids; partitions of sequences follow the mix."""
+    return packing.pack(mixing.as_laid(docs), with_ids=True)
 
 
 STAGES = [

@@ -110,6 +110,25 @@ def in_order(mixed: DataFrame, total: int) -> DataFrame:
     return mixed.repartitionById(parts, to).sortWithinPartitions("position").select("row.*")
 
 
+def as_laid(docs: DataFrame) -> DataFrame:
+    """Rows of a table read from files, in the order in which ``in_order`` laid them out.
+
+    A scan deals out files by size. Here a row's place is the count of rows in
+    the files before its own, by number of part, and its index in its file;
+    partitions take equal ranges of places.
+    """
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("index"))
+    name = F.substring_index("path", "/", -1)
+    number = F.regexp_extract(name, r"^part-(\d+)", 1)
+    before = Window.orderBy(F.length(number), name, "path").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("path").agg(F.count("*").alias("size"))
+    files = files.select("path", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy()).alias("total"))
+    rows = rows.join(F.broadcast(files), "path").withColumn("place", F.col("start") + F.col("index"))
+    to = F.floor(F.col("place") * parts / F.col("total")).cast("int")
+    return rows.repartitionById(parts, to).sortWithinPartitions("place").select("row.*")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mix of its sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")

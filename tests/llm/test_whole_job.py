@@ -1,8 +1,12 @@
 """Jobs that were once done in part only."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.llm import pii
+import corpus_pipeline
+
+from lodestone.llm import mixing, pii
+from lodestone.session import materialise
 
 
 @pytest.mark.parametrize(
@@ -25,3 +29,16 @@ def test_spoken_dots_of_addresses(found):
 @pytest.mark.parametrize("text", ["300 dot 1 dot 1 dot 1", "from 1 point 5 to 3 point 2", "one dot two dot three"])
 def test_spoken_dots_that_are_no_address(text):
     assert pii.find_spans(text) == ([], [])
+
+
+def test_sequences_follow_the_mix(spark):
+    """Later rows are longer, so later files are larger and a plain scan takes them first."""
+    n = 400
+    laid = spark.range(n).select(F.struct(F.col("id").alias("doc_id"), F.expr("repeat(sha2(cast(id as string), 256), cast(1 + id / 4 as int))").alias("text")).alias("row"), F.col("id").alias("position"))
+    docs = materialise(mixing.in_order(laid, n), "test-laid")
+    assert len(docs.inputFiles()) > 1
+    by = {}
+    for r in corpus_pipeline.pack_sequences(spark, docs, "").select("doc_id", "sequence_id").collect():
+        by.setdefault(r.sequence_id >> 33, set()).add(r.doc_id)
+    assert [i for p in sorted(by) for i in sorted(by[p])] == list(range(n)) and len(by) > 1
+    assert corpus_pipeline.pack_sequences(spark, materialise(docs.limit(0), "test-laid"), "").count() == 0
