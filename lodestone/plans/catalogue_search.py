@@ -174,12 +174,13 @@ def variant_dedup(spark, sf_dir):
 
 
 def submodular_select(spark, sf_dir):
-    """Each hundredth vector as a query, the next ten as its candidates."""
+    """Each hundredth vector as a query, the ten nearest of all the others as its candidates."""
     v = _vectors(spark, sf_dir)
-    base = v.withColumn("query_id", F.floor(F.col("chunk_id") / 100)).filter("chunk_id % 100 <= 10")
-    rows = base.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "embedding"))).alias("l")).filter("size(l) = 11")
-    names = F.transform(F.slice("l", 2, 10), lambda x: x["chunk_id"].cast("string"))
-    rows = rows.select("query_id", F.get("l", F.lit(0))["chunk_id"].cast("string").alias("original"), names.alias("candidates"), F.get("l", F.lit(0))["embedding"].alias("original_vector"), F.transform(F.slice("l", 2, 10), lambda x: x["embedding"]).alias("candidate_vectors"))
+    asked = v.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("of"), F.col("embedding").alias("original_vector"))
+    near = _batch(spark, sf_dir, 11).withColumnRenamed("query_id", "of").filter("chunk_id <> of").join(v, "chunk_id")
+    near = near.groupBy("of").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", "embedding"))), 1, 10).alias("l"))
+    rows = asked.join(near, "of", "left")
+    rows = rows.select(F.floor(F.col("of") / 100).alias("query_id"), F.col("of").cast("string").alias("original"), F.transform("l", lambda x: x["chunk_id"].cast("string")).alias("candidates"), "original_vector", F.transform("l", lambda x: x["embedding"]).alias("candidate_vectors"))
     return variants.select_variants(rows).select("query_id", "original", F.array_join("variants", ",").alias("variants"))
 
 
