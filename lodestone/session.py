@@ -28,14 +28,17 @@ def local_session(cpus: int | str = 8, app: str = "lodestone", partitions: int |
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (tests, local mode) a temporary
-    folder of this machine takes its place.
+    Only where the session names none and runs in local mode (tests), a
+    temporary folder of this machine takes its place; on a cluster that is an
+    error, as each executor would write to its own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -50,32 +53,43 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, str | None]] = []
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, bucket: str | None = None, buckets: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    The table survives the loss of any executor. It is removed when the driver
-    program ends, or by ``release()``.
+    With ``bucket`` the table is dealt into ``buckets`` by that column, so that
+    groups by it need no further shuffle. The table survives the loss of any
+    executor. It is removed by ``release``, at the latest when the driver
+    program ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(which: DataFrame | None = None) -> None:
-    """Remove tables that ``materialise`` wrote: all, or the one that ``which`` reads."""
-    keep = []
-    names = None if which is None else {os.path.dirname(f) for f in which.inputFiles()}
-    for spark, path in _written:
-        if names is not None and not any(n.rstrip("/").endswith(path.rsplit("/", 1)[-1]) for n in names):
-            keep.append((spark, path))
+    own = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{own}"
+    if bucket is None:
+        df.write.parquet(path)
+        out, table = spark.read.schema(df.schema).parquet(path), None
+    else:
+        table = own.replace("-", "_")
+        df.write.bucketBy(buckets, bucket).option("path", path).format("parquet").saveAsTable(table)
+        out = spark.table(table)
+    out.written_at = path
+    _written.append((spark, path, table))
+    return out
+
+
+def release(*which: DataFrame) -> None:
+    """Remove tables that ``materialise`` wrote: those it returned as ``which``, or all."""
+    keep, paths = [], {df.written_at for df in which}
+    for spark, path, table in _written:
+        if which and path not in paths:
+            keep.append((spark, path, table))
             continue
         try:
             jvm = spark.sparkContext._jvm
+            if table:
+                spark.sql(f"drop table if exists {table}")
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # the session has ended: nothing is left to remove it with
