@@ -30,14 +30,17 @@ END_ID = 0
 
 #: Characters on which the two tokenizer libraries were tested to agree: ASCII text and Latin letters.
 _COMMON = re.compile("[\t\n\r -~¡-ɏ]*")
+#: Runs of white space that take the faster library time that grows with their square, and at last fail there.
+_LONG_BLANK = re.compile(r"(?<!\s)\s{2000}")
 
 
 def tokenizer(name: str = "byte_bpe_50k") -> Callable[[list[str]], list[list[int]]]:
     """Token ids as ``tokenizers`` gives them with ``{name}.json``.
 
     The rank file of the same vocabulary gives the same ids four times faster
-    for plain Latin text; all other texts, and those that contain the special
-    token's string, go through ``tokenizers`` itself.
+    for plain Latin text; all other texts, those that contain the special
+    token's string, and those with very long runs of white space go through
+    ``tokenizers`` itself.
     """
     import public_tokenizers
     import tiktoken
@@ -51,7 +54,7 @@ def tokenizer(name: str = "byte_bpe_50k") -> Callable[[list[str]], list[list[int
 
     def encode(texts: list[str]) -> list[list[int]]:
         return [
-            fast.encode_ordinary(t) if _COMMON.fullmatch(t) and not any(s in t for s in special) else whole.encode(t, add_special_tokens=False).ids
+            fast.encode_ordinary(t) if _COMMON.fullmatch(t) and not any(s in t for s in special) and not _LONG_BLANK.search(t) else whole.encode(t, add_special_tokens=False).ids
             for t in texts
         ]
 
@@ -122,12 +125,15 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     id alone, equal texts and repeated rows are packed each by itself. Only
     documents longer than a window, and pieces left open at a partition's end,
     are cut. A sequence is padded to ``length`` by its reader. Memory holds
-    the open windows alone. Partitions are packed apart from each other, and
+    the open windows and the batch at hand; a text may have any length and any
+    run of white space. Rows that share a key are told apart by ``start`` no
+    further; other columns are not read, and ``key`` may have the name of one
+    of the output's. Partitions are packed apart from each other, and
     ``sequence_id`` holds the partition in its upper bits, so a task that is
     run again gives the same rows. An empty table gives no row.
     """
     kind = docs.schema[key].dataType.simpleString()
-    fields = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    fields = ["_key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches):
         packer, ids_of, part = Packer(length, open_windows), encode(), TaskContext.get().partitionId() << 33
@@ -152,8 +158,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         if done := list(packer.finish()):
             yield rows(done, key_type)
 
-    schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return arrow_map(docs.select(F.col(key), F.col(text)), run, schema)
+    schema = f"_key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    return arrow_map(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), run, schema).toDF(key, *fields[1:])
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

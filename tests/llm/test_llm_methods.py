@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestone.llm import embedding_dedup, media, minhash_dedup, packing, pii, pitman_yor, quality, toxicity
+from lodestone.llm import embedding_dedup, media, minhash_dedup, packing, pii, pitman_yor, quality, seating, toxicity
 from lodestone.llm.components import connected_components, local_components
 
 SF = "/root/testdata/sf0.001"
@@ -158,6 +158,61 @@ def test_packer_keeps_every_id():
     assert max(used.values()) <= 64 and sum(used.values()) / (64 * len(used)) > 0.85
 
 
+def test_packer_against_a_slow_one():
+    """Best fit, the fullest out, leftovers merged: by plain search over the open windows."""
+    rng, length, most = random.Random(8), 32, 5
+    docs = [np.array([rng.randrange(1000) for _ in range(rng.choice([1, 2, 7, 15, 31, 32, 33, 90]))], "<u4") for _ in range(300)]
+    slow, open_, opened = [], [], 0
+
+    def room(w):
+        return length - sum(len(p[2]) for p in w[1])
+
+    for k, ids in enumerate(docs):
+        cuts = [(at, ids[at : at + length]) for at in range(0, len(ids), length)]
+        for at, piece in cuts:
+            if len(piece) == length:
+                slow.append([(k, at, piece)])
+                continue
+            fits = [w for w in open_ if room(w) >= len(piece)]
+            if fits:
+                w = min(fits, key=lambda w: (room(w), w[0]))
+            else:
+                if len(open_) == most:
+                    out = min(open_, key=lambda w: (room(w), w[0]))
+                    open_.remove(out)
+                    slow.append(out[1])
+                w, opened = (opened, []), opened + 1
+                open_.append(w)
+            w[1].append((k, at, piece))
+            if not room(w):
+                open_.remove(w)
+                slow.append(w[1])
+    packer, got = packing.Packer(length, most), []
+    for k, ids in enumerate(docs):
+        got += packer.add(k, ids)
+    closed = packer.sequences
+    assert closed == len(slow)
+    at = {}
+    for k, start, ids, total, sequence, offset in got:
+        at.setdefault(sequence, []).append((k, start, ids.tolist()))
+        assert total == len(docs[k])
+    assert [at[i] for i in range(closed)] == [[(k, s, p.tolist()) for k, s, p in w] for w in slow]
+    rest = list(packer.finish())
+    left = [x for w in sorted(open_, key=lambda w: (room(w), w[0])) for p in w[1] for x in p[2].tolist()]
+    assert [x for p in rest for x in p[2].tolist()] == left
+    assert len({p[4] for p in rest}) == -(-len(left) // length)
+
+
+def test_piece_checksums(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = {}
+    for r in packing.pack(docs, with_ids=True).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.length == len(r.ids)
+        ids.setdefault(r.doc_id, []).append((r.start, r.ids, r.doc_tokens))
+    for pieces in ids.values():
+        assert sum(len(p[1]) for p in pieces) == pieces[0][2]
+
+
 def test_tokenizers_agree(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -186,20 +241,146 @@ def test_language_model_counts_and_gain(spark):
     assert sum(got[i].score for i in unseen) > sum(got[i].base_score for i in unseen)
 
 
+def plain_sampler(triples, params, vocabulary, sweeps, rng):
+    """One machine, one customer at a time through the three levels; probabilities of all triples, averaged."""
+    (d0, d1, d2), (s0, s1, s2) = params.discount, params.strength
+    seats, of = {}, [{}, {}, {}]  # sizes of tables by (level, context, word); [customers, tables] by context
+
+    def total(level, ctx):
+        return of[level].setdefault(ctx, [0, 0])
+
+    def p(level, two, one, w):
+        if level < 0:
+            return 1 / vocabulary
+        ctx = ((), (one,), (two, one))[level]
+        d, s = params.discount[level], params.strength[level]
+        own, (c, t) = seats.get((level, ctx, w), []), total(level, ctx)
+        return (sum(own) - d * len(own) + (s + d * t) * p(level - 1, two, one, w)) / (s + c)
+
+    def add(level, two, one, w):
+        if level < 0:
+            return
+        ctx = ((), (one,), (two, one))[level]
+        d, s = params.discount[level], params.strength[level]
+        own, all_ = seats.setdefault((level, ctx, w), []), total(level, ctx)
+        new = (s + d * all_[1]) * p(level - 1, two, one, w)
+        r = rng.random() * (new + sum(own) - d * len(own))
+        all_[0] += 1
+        if r < new or not own:
+            own.append(1)
+            all_[1] += 1
+            add(level - 1, two, one, w)
+            return
+        r -= new
+        for k, n in enumerate(own):
+            r -= n - d
+            if r < 0 or k == len(own) - 1:
+                own[k] += 1
+                return
+
+    def remove(level, two, one, w):
+        if level < 0:
+            return
+        ctx = ((), (one,), (two, one))[level]
+        own, all_ = seats[level, ctx, w], total(level, ctx)
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        all_[0] -= 1
+        if not own[k]:
+            own.pop(k)
+            all_[1] -= 1
+            remove(level - 1, two, one, w)
+
+    for x in triples:
+        add(2, *x)
+    out = dict.fromkeys(triples, 0.0)
+    for k in range(sweeps):
+        for x in triples:
+            remove(2, *x)
+            add(2, *x)
+        if k >= sweeps // 4:
+            for x in out:
+                out[x] += p(2, *x) / (sweeps - sweeps // 4)
+    return out
+
+
+def test_seating_against_a_plain_sampler():
+    rng, params = random.Random(2), seating.Params((0.4, 0.6, 0.7), (1.0, 1.5, 2.0))
+    triples = [(rng.randrange(3), rng.randrange(3), min(int(rng.expovariate(0.7)), 5)) for _ in range(150)]
+    want = plain_sampler(triples, params, 7, 600, rng)
+    keys = sorted(want, key=lambda x: (x[1], x[2], x[0]))
+    count = np.array([triples.count(k) for k in keys])
+    one, word, two = (np.array([k[n] for k in keys]) for n in (1, 2, 0))
+    family = pitman_yor._changes(one, word)
+    index = np.cumsum(family) - 1
+    context = np.unique(one * 3 + two, return_inverse=True)[1]
+    for width, scan in ((1, 1 << 18), (1000, 1 << 18), (1000, 5)):
+        seating.WIDTH, seating.SCAN = width, scan
+        try:
+            s = seating.Seating(index, context, count, np.unique(one[family], return_inverse=True)[1], params, np.random.default_rng(4))
+            words, at = np.unique(word[family], return_inverse=True)
+            got, n = np.zeros(len(keys)), 500
+            for k in range(n):
+                root = np.bincount(at, weights=s.up_tables).astype(np.int64)
+                tables = seating.seat_root(root, 1 / 7, len(words), params, np.random.default_rng(k), 1)
+                s.know_root(root[at], tables[at], s.up_tables.copy(), (int(root.sum()), int(tables.sum())), 7)
+                s.sweep(enter=k == 0)
+                assert s.sizes.sum() == count.sum() and s.up_sizes.sum() == s.tables.sum() and len(s.up_sizes) == s.up_tables.sum()
+                if k >= n // 5:
+                    got += s.predictive() / (n - n // 5)
+        finally:
+            seating.WIDTH, seating.SCAN = 48, 1 << 18
+        ratio = got / np.array([want[k] for k in keys])
+        assert abs(np.log(ratio)).max() < 0.15 and abs(np.log(ratio).mean()) < 0.03
+
+
 def test_predictive_sums_to_one():
-    rng = np.random.default_rng(0)
-    pairs = np.unique(rng.integers(0, 50, 300) * 1000 + rng.choice([0, 97, 25_000], 300))
-    row = {"bucket": 0, "words": (pairs // 1000).astype(np.uint64).tobytes(), "contexts": (pairs % 1000).astype(np.uint16).tobytes(), "counts": rng.integers(1, 40, len(pairs)).astype(np.int64).tobytes()}
-    bucket = pitman_yor.Bucket(row)
-    past = []
-    for _ in range(3):
-        *_, state = bucket.replay(past, [0.5, 0.6, 0.7], len(bucket.known))
-        total = pitman_yor.Totals(*map(list, zip(*bucket.totals(state), strict=True)))
-        past.append(total)
-        root = bucket.predictive(state, total, [0.5, 0.6, 0.7], len(bucket.known))[0]
-        unknown = (pitman_yor.STRENGTH + 0.5 * total.tables[0][0]) / (pitman_yor.STRENGTH + total.customers[0][0]) / (len(bucket.known) + 1)
-        assert root.sum() + unknown == pytest.approx(1)
-        assert all((t <= c).all() and ((t > 0) == (c > 0)).all() for c, t in state)
+    """Over all words of a seen context, and the unknown one."""
+    rng, words = np.random.default_rng(0), 40
+    one, word, two = (x.ravel() for x in np.meshgrid([0, 3], np.arange(words), [0, 5], indexing="ij"))
+    count = np.where(rng.random(len(one)) < 0.3, rng.integers(1, 20, len(one)), 0)
+    row = {"bucket": 0, "one": pitman_yor.pack(np.diff(one, prepend=0)), "word": pitman_yor.pack(pitman_yor._steps(word, pitman_yor._changes(one))), "two": pitman_yor.pack(two), "count": pitman_yor.pack(count), "split": pitman_yor.pack(one == 3)}
+    bucket, params = pitman_yor.Bucket(row, 3), seating.Params((0.5, 0.6, 0.7), (1.0, 1.0, 1.0))
+    assert np.array_equal(bucket.count, count) and np.array_equal(bucket.words[bucket.root_of][bucket.family], word)
+    s = bucket.seating(params, np.random.default_rng(1))
+    replies = []
+    for number, owner, kind, a, b, c in bucket.messages(s):
+        assert number == 0 and len(pitman_yor.unpack(b)) == len(pitman_yor.unpack(c))
+        if kind == pitman_yor._ROOT:
+            c = pitman_yor.pack((pitman_yor.unpack(b) > 0).astype(int))
+        replies.append({"kind": kind, "owner": owner, "b": b, "c": c})
+    root = np.bincount(bucket.root_of, weights=s.up_tables)
+    total = int(root.sum()), int((root > 0).sum())
+    bucket.listen(s, replies, total, words + 1)
+    assert not any(x.any() for x in (*s.extra_low, *s.extra_mid))  # all parts of the dealt-out restaurants are here
+    for k in range(3):
+        s.sweep(enter=k == 0)
+    root = np.bincount(bucket.root_of, weights=s.up_tables, minlength=words).astype(np.int64)
+    s.know_root(root[bucket.root_of], np.minimum(root, 1)[bucket.root_of], s.up_tables.copy(), (int(root.sum()), int((root > 0).sum())), words + 1)
+    p = s.predictive()
+    for ctx in range(4):
+        t0 = (params.strength[0] + params.discount[0] * s.root[1]) / (words + 1) / (params.strength[0] + s.root[0])
+        mid = bucket.middle[bucket.family[bucket.context == ctx][0]]
+        t1 = (params.strength[1] + params.discount[1] * s.mid_tables[mid]) * t0 / (params.strength[1] + s.mid_customers[mid])
+        t2 = (params.strength[2] + params.discount[2] * s.low_tables[ctx]) * t1 / (params.strength[2] + s.low_customers[ctx])
+        assert p[bucket.context == ctx].sum() + t2 == pytest.approx(1)
+
+
+def test_packed_numbers():
+    for x in ([], [0], [255, 256], [1 << 16, 3], [(1 << 40) + 5, 0, 7]):
+        assert pitman_yor.unpack(pitman_yor.pack(np.array(x, np.int64))).tolist() == x
+    x, new = np.array([3, 5, 9, 2, 2, 8]), np.array([1, 0, 0, 1, 0, 0], bool)
+    assert np.array_equal(pitman_yor._sums(pitman_yor._steps(x, new), new), x)
+
+
+def test_scores_do_not_depend_on_chunks(spark):
+    """Dealt into many chunks, buckets and parts of hot words, the counts agree and the scores nearly so."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    held = pitman_yor.held_out(docs.doc_id)
+    a = {r.doc_id: r for r in pitman_yor.score_documents(docs, held=held).collect()}
+    b = {r.doc_id: r for r in pitman_yor.score_documents(docs.repartition(3), held=held, chunk_tokens=2_000, bucket_tokens=3_000, hot_tokens=200).collect()}
+    assert all(a[i].base_score == pytest.approx(b[i].base_score) and a[i].n_known == b[i].n_known for i in a)
+    assert sum(r.score for r in a.values()) == pytest.approx(sum(r.score for r in b.values()), rel=0.03)
 
 
 def test_quality_against_labels(spark):

@@ -65,16 +65,23 @@ def test_pii_stage(stages):
     assert len(before) == len(stages["pii"][1])
 
 
-def brute_mix(rows):
-    """The order of the ids by slots that are filled one after the other."""
-    by = {}
+def brute_mix(rows, columns):
+    """The order of the ids by slots that are filled one after the other; every source has a lane here."""
+    by, weight = {}, {}
     for r in rows:
-        by.setdefault(r["source"], []).append(r["doc_id"])
-    names = sorted(by, key=lambda s: (s is not None, s))
+        text = "|".join("" if r[c] is None else str(r[c]) for c in ["doc_id", *(c for c in columns if c != "doc_id")])
+        by.setdefault(r["source"], []).append((hashlib.md5(text.encode()).hexdigest(), r["doc_id"]))
+    digest = lambda s: hashlib.md5(("0" if s is None else "1" + s).encode()).hexdigest()
+    names = sorted(by, key=digest)
     for s in names:
-        by[s].sort(key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
-    total = sum(math.sqrt(len(v)) for v in by.values())
-    q = [max(1, round(mixing.CYCLE * math.sqrt(len(by[s])) / total)) for s in names]
+        by[s] = [i for _, i in sorted(by[s])]
+        weight[s] = max(1, round(math.sqrt(len(by[s])) * 1024))
+    total = sum(weight.values())
+    assert all(w * mixing.OWN_LANE >= total for w in weight.values())
+    q = [mixing.CYCLE * weight[s] // total for s in names]
+    left = sorted(range(len(names)), key=lambda j: (-(mixing.CYCLE * weight[names[j]] % total), j))
+    for j in left[: mixing.CYCLE - sum(q)]:
+        q[j] += 1
     d, done, order, t = sum(q), [0] * len(names), [], 0
     size = mixing.BLOCK_ROWS
     while len(order) < len(rows):
@@ -92,7 +99,7 @@ def test_mixing_stage(stages):
     parts = stages["mixing"][2].inputFiles()
     spark = stages["mixing"][2].sparkSession
     order = [r.doc_id for f in sorted(parts) for r in spark.read.parquet(f).collect()]
-    assert order == brute_mix(stages["pii"][1])
+    assert order == brute_mix(stages["pii"][1], stages["pii"][0])
 
 
 def test_packing_stage(stages):

@@ -99,6 +99,41 @@ def test_mixing_null_source_and_targets(spark):
     assert abs(share["a"] - 12) <= 1 and abs(share["b"] - 8) <= 1 and share[None] <= 1
 
 
+def test_mixing_many_sources(spark):
+    """2,000 small sources and a hot one: any number of sources, and the hot one keeps its target in every prefix."""
+    table = spark.range(20_000).selectExpr("id as doc_id", "case when id < 12000 then 'hot' else concat('s', id % 2000) end as source")
+    targets = {"hot": 0.9} | {f"s{i}": 0.00005 for i in range(2000)}
+    got = sorted(mixing.mix(table, targets=targets, block_rows=4).collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(20_000))
+    slots = {r.slot: r.row.source for r in got}
+    hot = 0
+    for t in range(min(3_000, max(slots))):
+        assert abs(hot - 0.9 * t) < 1 + t / mixing.CYCLE
+        hot += slots.get(t) == "hot"
+    blocks = [r.block for r in got if r.row.source == "s7"]
+    assert blocks == sorted(blocks)
+
+
+@pytest.mark.parametrize("key", ["cast(null as bigint)", "7L"])
+def test_mixing_one_key(spark, key):
+    """Null or repeated keys do not put a source's rows into one part."""
+    table = spark.range(20_000).selectExpr(f"{key} as doc_id", "'s' as source", "cast(id as string) as text")
+    got = mixing.mix(table)
+    assert got.agg({"position": "max"}).first()[0] == 19_999 and got.select("position").distinct().count() == 20_000
+
+
+def test_lane_deviation(spark):
+    """Every prefix of a cycle holds each lane to less than one block from its share."""
+    shares = [700, 200, 50, 30, 20, 20, 3, 1]
+    lanes = spark.createDataFrame(list(enumerate(shares)), "j long, q long")
+    slots = {r.slot: r.j for r in mixing.cycle_schedule(lanes).collect()}
+    done, d = [0] * len(shares), sum(shares)
+    assert sorted(slots) == list(range(d))
+    for t in range(d):
+        done[slots[t]] += 1
+        assert all(abs(n - q * (t + 1) / d) < 1 for n, q in zip(done, shares, strict=True))
+
+
 def test_media(docs):
     got = rows_of(media.store_media(docs))
     assert sum(map(len, got.values())) == len(TEXTS)
@@ -129,6 +164,20 @@ def test_packing(docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_long_texts(spark):
+    """Runs of one character that some tokenizers cannot take, and a key named like a column of the output."""
+    long = {1: " " * 2_000_000, 2: "\n" * 2_000_000, 3: "a" * 2_000_000, 4: ("x" * 1_999 + " " * 1_999) * 50}
+    table = spark.createDataFrame(list(long.items()), "start long, text string")
+    got = packing.pack(table, key="start")
+    assert got.columns == ["start", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    sums = {}
+    for r in got.collect():
+        sums[r[0]] = sums.get(r[0], 0) + r.length
+        assert sums[r[0]] <= r.doc_tokens
+    whole = packing.tokenizer()
+    assert sums == {k: len(whole([t])[0]) + 1 for k, t in long.items()}
+
+
 def test_quality(docs):
     got = rows_of(quality.score(docs, quality.fit(docs)))
     assert sum(map(len, got.values())) == len(TEXTS)
