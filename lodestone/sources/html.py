@@ -11,7 +11,9 @@ _DROPPED = {"i", "script", "iframe", "style"}
 _MEDIA = {"video", "source", "audio"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "nav", "aside", "figure", "figcaption", "form", "fieldset", "address", "dl", "dt", "dd", "body", "html", "ul", "ol", "table", "blockquote", "pre", "hr"}
-_BASE64_SRC = re.compile(r"""\bsrc\s*=\s*(["'])data:[^;]+;base64,[A-Za-z0-9+/=]+\1""", re.IGNORECASE)
+#: Markdown that a page's own text holds: marks that a backslash guards, and words between double underscores.
+_GUARDED = re.compile(r"\\(?=[!-/:-@\[-`{-~])")
+_UNDERLINED = re.compile(r"(?<!\w)__(?=[^\s_])(.*?)(?<=[^\s_])__(?!\w)")
 
 
 class _Node:
@@ -35,16 +37,25 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack = [_Node("root")]
 
+    @staticmethod
+    def node(tag, attrs) -> _Node:
+        """Attributes as they are read, but for pictures that are spelled out in place."""
+        own = {k: unescape(v or "").strip() for k, v in attrs}
+        head, inline, _ = own.get("src", "").partition(";base64,")
+        if inline and head.lower().startswith("data:"):
+            own["src"] = ""
+        return _Node(tag, own)
+
     def handle_starttag(self, tag, attrs):
         if tag in ("li", "p", "tr", "td", "th", "dt", "dd", "option") and self.stack[-1].tag == tag:
             self.stack.pop()
-        node = _Node(tag, {k: v or "" for k, v in attrs})
+        node = self.node(tag, attrs)
         self.stack[-1].children.append(node)
         if tag not in _VOID:
             self.stack.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.stack[-1].children.append(_Node(tag, {k: v or "" for k, v in attrs}))
+        self.stack[-1].children.append(self.node(tag, attrs))
 
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, 0, -1):
@@ -53,7 +64,8 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
-        self.stack[-1].children.append(data)
+        """Text as it is to appear: what is still an entity is read, and Markdown in it is taken at its word."""
+        self.stack[-1].children.append(_UNDERLINED.sub(r"**\1**", _GUARDED.sub("", unescape(data))))
 
 
 def _wrapped(inner: str, mark: str) -> str:
@@ -134,9 +146,9 @@ def _render(node: _Node, depth: int = 0, plain: bool = False) -> str:
     if tag == "hr":
         return "\n\n---\n\n"
     if tag == "a":
-        text, href = _inline(node, depth, plain), node.attrs.get("href", "").strip()
-        name = node.attrs.get("title")
-        return f"[{text.strip()}]({href}" + (f' "{name}"' if name else "") + ")" if href and text.strip() else text
+        text, href = _inline(node, depth, plain), node.attrs.get("href", "")
+        name, shown = node.attrs.get("title"), text.replace("\n", " ").strip()
+        return f"[{shown}]({href}" + (f' "{name}"' if name else "") + ")" if href and shown else text
     if tag == "img":
         name = node.attrs.get("title")
         return f"![{node.attrs.get('alt', '')}]({node.attrs.get('src', '')}" + (f' "{name}"' if name else "") + ")"
@@ -152,15 +164,6 @@ def _render(node: _Node, depth: int = 0, plain: bool = False) -> str:
     return _block(inner) if tag in _BLOCKS else inner
 
 
-def tidy(markdown: str) -> str:
-    """Entities, links over two lines, strong marks, needless backslashes, gaps."""
-    text = unescape(markdown)
-    text = re.sub(r"\[([^\]]+)\]\(([^)]+)\)", lambda m: f"[{m[1].replace(chr(10), ' ').strip()}]({m[2].strip()})" if m[2].strip() else "", text)
-    text = re.sub(r"(?<!\w)__([^_\n][^_\n]*?[^_\n]|\S)__(?!\w)", r"**\1**", text)
-    text = re.sub(r"\\([#`!*()+\-_\[\]{}\\.])", r"\1", text)
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
-
-
 def html_to_markdown(html: str | None) -> str:
     """Markdown of a page: empty for nothing and for what cannot be read, the page itself beyond ``MAX_CHARS``."""
     if not html:
@@ -169,8 +172,8 @@ def html_to_markdown(html: str | None) -> str:
         return html
     try:
         tree = _Tree()
-        tree.feed(_BASE64_SRC.sub(r"src=\1\1", html))
+        tree.feed(html)
         tree.close()
-        return tidy(_render(tree.stack[0]))
+        return re.sub(r"\n{3,}", "\n\n", _render(tree.stack[0])).strip()
     except (ValueError, AssertionError, RecursionError):
         return ""

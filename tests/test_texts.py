@@ -73,12 +73,12 @@ def test_custom_separator_and_sign():
 def test_merging():
     assert chunking.merge_small(["a", "b" * 10, "c"], 5) == ["a\n" + "b" * 10 + "\nc"]
     assert chunking.merge_to_target(["a" * 6, "b" * 6, "c" * 6], 10, 100) == ["a" * 6 + "\n" + "b" * 6, "c" * 6]
-    assert chunking.glue("a\n", "b") == "a\nb" and chunking.glue("", "b") == "b"
+    assert chunking.seamed(["a\n", "b"]) == "a\nb" and chunking.seamed(["", "b"]) == "b"
     assert chunking.sliding_window("z" * 100, 50)[-1] == "z" * 50
 
 
 def test_levels():
-    assert len(chunking.levels(1000, 8000)) == 12 and len(chunking.levels(1000, 8000, 5, ["a", "b"])) == 14 and len(chunking.levels(1000, 8000, 9)) == 12
+    assert len(chunking.ladder(ChunkSettings())) == 12 and len(chunking.ladder(ChunkSettings(), ["a", "b"])) == 14 and len(chunking.ladder(ChunkSettings(heading_depth=9))) == 12
 
 
 def test_settings():
