@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import materialise
+from lodestone.session import materialise, release
 
 #: Pointer jumps in a round: a chain of parents gets shorter by the power 2 ** JUMPS.
 JUMPS = 2
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     followed a few times, and the edges between what is now one vertex vanish.
     Rounds are written to the shared folder, so a lost executor costs a task
     and not the run. Sums over a vertex are aggregated before the shuffle;
-    joins meet one row for each vertex, so a hub is split as a skewed side.
+    joins send a hub's rows to no single task (``look_up``).
     Null ends and loops are dropped; no edge gives no row.
     """
     edges = materialise(
@@ -29,31 +29,42 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     found = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("up"))
-        parent = materialise(parent, f"{name}-parents")
+        first = parent = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("up")), f"{name}-parents")
         for _ in range(JUMPS):
-            above = parent.select(F.col("id").alias("up"), F.col("up").alias("further"))
-            parent = parent.join(above, "up", "left").select("id", F.coalesce("further", "up").alias("up"))
+            parent = look_up(parent, parent.select(F.col("id").alias("up"), F.col("up").alias("further")), "up").select("id", F.col("further").alias("up"))
         parent = materialise(parent, f"{name}-parents")
         to = lambda c: parent.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up"))
-        edges = materialise(
-            edges.join(to("a"), "a")
-            .join(to("b"), "b")
-            .filter("a_up <> b_up")
-            .select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b"))
-            .distinct(),
-            f"{name}-edges",
-        )
+        ends = look_up(look_up(edges, to("a"), "a"), to("b"), "b", edges)
+        ends = ends.filter("a_up <> b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct()
+        last, edges = edges, materialise(ends, f"{name}-edges")
+        release(first, last)
         if found is None:
             found = parent.select("id", F.col("up").alias("component"))
         else:
             step = parent.select(F.col("id").alias("component"), "up")
-            found = materialise(found.join(step, "component", "left").select("id", F.coalesce("up", "component").alias("component")), f"{name}-found")
+            still = found.select("component").distinct().join(step, "component", "left").select("component", F.coalesce("up", "component").alias("up"))
+            found = materialise(look_up(found, still, "component").select("id", F.col("up").alias("component")), f"{name}-found")
     if found is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return found
 
 
+#: A key is hot from this share of the rows on; so at most so many are.
+HOT_KEYS = 1000
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, alike: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the other columns of ``table``, which has one row for each ``key``: an inner join that no hot key holds up.
+
+    Keys that hold more than one in ``HOT_KEYS`` of the rows, fewer than that
+    many keys, meet a broadcast; all others meet in a shuffle. ``alike`` has
+    the keys of ``rows`` where it is cheaper to count.
+    """
+    counts = (rows if alike is None else alike).groupBy(key).agg(F.count("*").alias("_n"))
+    hot = counts.join(F.broadcast(counts.agg(F.sum("_n").alias("_all")))).filter(f"_n > 64 and _n * {HOT_KEYS} > _all").select(key)
+    return rows.join(F.broadcast(hot.join(table, key)), key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
+
+
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index reachable from each of ``n`` vertices by the edges ``(a, b)``."""
     label = np.arange(n)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_map, table
-from lodestone.llm.components import connected_components, local_components
+from lodestone.llm.components import connected_components, local_components, look_up
 from lodestone.session import materialise
 
 THRESHOLD = 0.95
@@ -23,7 +23,8 @@ THRESHOLD = 0.95
 TILE_BYTES = 1 << 20
 ROWS = 512
 GRID_DIMS = 2
-LEAD_DIMS = 16
+#: Leading dimensions after which the bound is taken again.
+STOPS = (8, 16, 32)
 #: Vectors on which the rotation is fitted; it decides the speed alone, never a link.
 PCA_SAMPLE = 8192
 
@@ -36,26 +37,37 @@ def fit_rotation(vectors: DataFrame, dim: int, sample: int = PCA_SAMPLE) -> np.n
     return np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(dim))[1][:, ::-1].copy()
 
 
-def _unit(raw: bytes, dim: int) -> np.ndarray:
-    x = np.frombuffer(raw, "<f4").reshape(-1, dim).astype(np.float64)
+def _unit(raw: bytes, dim: int, kind: str = "<f4") -> np.ndarray:
+    x = np.frombuffer(raw, kind).reshape(-1, dim).astype(np.float64)
     x /= np.abs(x).max(axis=1)[:, None]  # so that tiny or huge components do not vanish or overflow
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def compare(left: np.ndarray, right: np.ndarray, rotation: np.ndarray, threshold: float, lead: int = LEAD_DIMS, rows: int = ROWS):
-    """Blocks of (i, j) with cosine of ``left[i]`` and ``right[j]`` at or above ``threshold``, exactly."""
+def compare(left: np.ndarray, right: np.ndarray, rotation: np.ndarray, threshold: float, stops: tuple[int, ...] = STOPS, rows: int = ROWS):
+    """Blocks of (i, j) with cosine of ``left[i]`` and ``right[j]`` at or above ``threshold``, exactly.
+
+    Products are accumulated over the leading dimensions up to each of
+    ``stops``; there the rest is bounded by the norms of the suffixes, and only
+    pairs that can still reach the threshold go on.
+    """
     a, b = left @ rotation, right @ rotation
-    rest_a, rest_b = np.sqrt((a[:, lead:] ** 2).sum(1)), np.sqrt((b[:, lead:] ** 2).sum(1))
+    stops = [s for s in stops if s < a.shape[1]] or [a.shape[1]]
+    rest = [[np.sqrt((x[:, s:] ** 2).sum(1)) for s in stops] for x in (a, b)]
     slack = 1e-9
     for at in range(0, len(a), rows):
-        x = a[at : at + rows]
-        part = x[:, :lead] @ b[:, :lead].T
-        part += rest_a[at : at + rows, None] * rest_b[None, :]
-        i, j = np.nonzero(part >= threshold - slack)
-        if len(i) > part.size // 64:
+        x, own = a[at : at + rows], [r[at : at + rows] for r in rest[0]]
+        part = x[:, : stops[0]] @ b[:, : stops[0]].T
+        i, j = np.nonzero(part + own[0][:, None] * rest[1][0][None, :] >= threshold - slack)
+        if len(i) > part.size // 64:  # many go on: the next product is cheaper as a whole
             cosine = (x @ b.T)[i, j]
         else:
-            cosine = np.einsum("ij,ij->i", x[i], b[j]) if len(i) else np.empty(0)
+            product = part[i, j]
+            for k, (s, e) in enumerate(zip(stops, [*stops[1:], a.shape[1]], strict=True)):
+                product += np.einsum("ij,ij->i", x[i, s:e], b[j, s:e])
+                if k + 1 < len(stops):
+                    go = product + own[k + 1][i] * rest[1][k + 1][j] >= threshold - slack
+                    i, j, product = i[go], j[go], product[go]
+            cosine = product
         near = np.abs(cosine - threshold) < slack
         if near.any():  # at the border the plain product decides
             cosine[near] = np.einsum("ij,ij->i", left[at + i[near]], right[j[near]])
@@ -63,7 +75,7 @@ def compare(left: np.ndarray, right: np.ndarray, rotation: np.ndarray, threshold
         yield at + i[keep], j[keep]
 
 
-def link_tiles(pairs: DataFrame, rotations: dict[int, np.ndarray], threshold: float) -> DataFrame:
+def link_tiles(pairs: DataFrame, rotations: dict[int, np.ndarray], threshold: float, kind: str = "<f4") -> DataFrame:
     """For each tile pair: (uid, links, root) of every vector with links there; ``links`` counts copies, ``root`` shares its component."""
 
     def run(batches):
@@ -73,11 +85,11 @@ def link_tiles(pairs: DataFrame, rotations: dict[int, np.ndarray], threshold: fl
                 dim, same = row["dim"], row["a"] == row["b"]
                 ids = [np.frombuffer(row[f"{s}_ids"], "<i8") for s in "ab"]
                 count = [np.frombuffer(row[f"{s}_n"], "<i8") for s in "ab"]
-                left, right = _unit(row["a_raw"], dim), _unit(row["b_raw"], dim)
+                left, right = _unit(row["a_raw"], dim, kind), _unit(row["b_raw"], dim, kind)
                 n = len(ids[0])
                 total = n if same else n + len(ids[1])
                 links, edges = np.zeros(total, np.int64), [(np.empty(0, np.int64),) * 2]
-                for i, j in compare(left, right, rotations.get(dim, np.eye(dim)), threshold, min(LEAD_DIMS, dim)):
+                for i, j in compare(left, right, rotations.get(dim, np.eye(dim)), threshold):
                     if same:
                         i, j = i[i != j], j[i != j]
                         np.add.at(links, i, count[0][j])
@@ -132,10 +144,13 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     is cut into tiles of about ``TILE_BYTES``.
     """
     spark = rows.sparkSession
-    own = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    # Components keep their precision: floats as floats, all other numbers as doubles.
+    item = "float" if rows.select(F.col(f"`{vector}`")).schema[0].dataType.simpleString() == "array<float>" else "double"
+    kind, size = ("<f4", 4) if item == "float" else ("<f8", 8)
+    own = rows.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").cast(f"array<{item}>").alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     valid = F.coalesce((F.size("vector") > 0) & F.forall("vector", finite) & F.exists("vector", lambda x: x != 0), F.lit(False))
-    own = own.withColumn("vector", F.when(valid, F.transform("vector", lambda x: x + F.lit(0.0).cast("float"))))  # -0.0 becomes 0.0
+    own = own.withColumn("vector", F.when(valid, F.transform("vector", lambda x: x + F.lit(0.0).cast(item))))  # -0.0 becomes 0.0
     distinct = own.filter("vector is not null").groupBy("vector").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     distinct = materialise(distinct.withColumn("uid", F.monotonically_increasing_id()), "vectors")
 
@@ -148,8 +163,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         for b in batches:
             out = []
             for uid, n, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = np.array(v, "<f4").tobytes()
-                lead = (_unit(raw, len(v)) @ rotations[len(v)][:, :GRID_DIMS])[0] if len(v) in rotations else ()
+                raw = np.array(v, kind).tobytes()
+                lead = (_unit(raw, len(v), kind) @ rotations[len(v)][:, :GRID_DIMS])[0] if len(v) in rotations else ()
                 out.append((uid, n, len(v), [int(np.floor(x / width)) for x in lead], raw))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
@@ -157,7 +172,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     cells = arrow_map(distinct.select("uid", "n", "vector"), celled, "uid long, n long, dim int, cell array<int>, raw binary")
     cells = materialise(cells, "cells")
-    sizes = cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") * F.col("dim") * 4 / TILE_BYTES).alias("parts"))
+    sizes = cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") * F.col("dim") * size / TILE_BYTES).alias("parts"))
     tiles = cells.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("uid"), "parts"))
     tiles = tiles.groupBy("dim", "cell", "part").agg(F.collect_list(F.struct("uid", "n", "raw")).alias("v"))
 
@@ -177,14 +192,14 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     pairs = a.join(b, ["dim", "cell"]).filter("a <= b").select("a", "b", "dim")
     for side in "ab":
         pairs = pairs.join(tiles.select(F.col("tile").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("ids", "n", "raw")]), side)
-    found = materialise(link_tiles(pairs, rotations, threshold), "links")
+    found = materialise(link_tiles(pairs, rotations, threshold, kind), "links")
 
     group = connected_components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")), "vectors")
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     known = distinct.join(links, "uid", "left").join(group.withColumnRenamed("id", "uid"), "uid", "left")
     known = known.select("vector", "first", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "uid").alias("component"))
-    least = known.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = known.join(least, "component").select("vector", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
+    known = materialise(known, "vectors-known")
+    known = look_up(known, known.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("vector", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
     out = own.join(known, "vector", "left").select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 

@@ -6,12 +6,19 @@ to reach a register is its value, and two registers agree with the weighted
 Jaccard similarity as probability. Bands of registers propose groups, the
 registers order and bound the pairs in them, and the exact multiset overlap
 decides every link.
+
+A group is cut into tiles; each tile keeps a spanning forest of its likely
+pairs and hands on a leader for each of its trees, and the leaders of a group
+form tiles again. So a group of near copies of any size costs rows in
+proportion to its size. Only what the forests leave apart is compared pair by
+pair, and the largest class of a group only with what lies outside it.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import OrderedDict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_map, table
-from lodestone.llm.components import connected_components
+from lodestone.llm.components import connected_components, look_up
 from lodestone.session import materialise, spread
 
 SHINGLE = 5
@@ -29,7 +36,9 @@ REGISTERS = 128
 BANDS, BAND_ROWS = 24, 5
 #: A pair at the threshold falls below this share of equal registers once in 200,000.
 LEAST_EQUAL = 0.64
+#: Vertices and shingles in a tile of a group, about.
 TILE = 256
+TILE_SHINGLES = 200_000
 
 _U = np.uint64
 _GOLDEN, _M1, _M2, _BASE = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x100000001B3)
@@ -69,10 +78,13 @@ class Shingler:
 def bag_minhash(hashes: np.ndarray, counts: np.ndarray, m: int = REGISTERS) -> np.ndarray:
     """``m`` registers (arrival times) of a multiset with at least one element.
 
-    Weight intervals are (0, 1], (1, 2], (2, 4], (4, 8] and so on. The process of
-    an interval has its width as rate and marks each point with a place in the
-    interval; an element of weight w takes the points up to w. A point depends
-    on element, interval and index alone, so that equal points compare equal.
+    The weights are whole numbers. The process of a weight is the sum of those
+    of the intervals below it: (0, 1], (1, 2], (2, 4], (4, 8] and so on, each
+    twice the sum of what lies below, as if the process over all weights had
+    been split in halves again and again. The process of an interval has its
+    width as rate and marks each point with a place in the interval; an
+    element of weight w takes the points up to w. A point depends on element,
+    interval and index alone, so that equal points compare equal.
     """
     seeds, low, high, weight = [hashes], [np.zeros(len(hashes))], [np.ones(len(hashes))], [counts]
     level, bound = 1, 1
@@ -120,16 +132,16 @@ def content_key(bag: tuple[np.ndarray, np.ndarray]) -> bytes:
 
 
 def signatures(docs: DataFrame, key: str, text: str, m: int = REGISTERS, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """``id, content, n, bands, sig`` of every row; ``content`` and the rest are null for a text without words."""
+    """``id, text_hash, content, n, bands, sig`` of every row; ``content`` and the rest are null for a text without words."""
     kind = docs.schema[key].dataType.simpleString()
-    names = ["id", "content", "n", "bands", "sig"]
+    names = ["id", "text_hash", "content", "n", "bands", "sig"]
 
     def run(batches):
         shingles = Shingler()
         powers = (_GOLDEN * (np.arange(1, bands * rows + 1, dtype=_U) * _U(2) + _U(1))).reshape(bands, rows)
         for b in batches:
             out = []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 bag = shingles(t)
                 if not len(bag[0]):
                     out.append((None,) * 4)
@@ -139,9 +151,10 @@ def signatures(docs: DataFrame, key: str, text: str, m: int = REGISTERS, bands:
                 out.append((content_key(bag), int(bag[1].sum()), keys, (value & _U(255)).astype(np.uint8).tobytes()))
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
-    return arrow_map(spread(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))), run, f"id {kind}, content binary, n long, bands array<long>, sig binary")
+    source = spread(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")))
+    return arrow_map(source.select("id", F.xxhash64("text").alias("text_hash"), "text"), run, f"id {kind}, text_hash long, content binary, n long, bands array<long>, sig binary")
 
 
 def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -184,20 +197,23 @@ class _Groups:
 
 
 def _forests(units: DataFrame, m: int, least: float, threshold: float) -> DataFrame:
-    """For each unit a spanning forest of its candidate pairs, likeliest pairs first: (unit, a, b)."""
+    """For each unit ``(value, rows)`` a spanning forest of its candidate pairs, likeliest pairs first, ``(value, a, b)``, and each tree's smallest vertex as ``(value, a, null)``."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for unit in batch.to_pylist():
-                unit = {"unit": unit["unit"]} | {c: [x[c] for x in unit["rows"]] for c in ("uid", "n", "part", "sig")}
-                groups = _Groups(range(len(unit["uid"])))
+            for k in range(batch.num_rows):
+                rows = batch.column(1)[k].as_py()
+                unit = {c: [x[c] for x in rows] for c in ("uid", "n", "part", "sig")}
+                value, uid = batch.column(0)[k].as_py(), unit["uid"]
+                groups = _Groups(uid)
                 i, j, _ = _candidates(unit, least, threshold, m)
-                out += [(unit["unit"], unit["uid"][a], unit["uid"][b]) for a, b in zip(i.tolist(), j.tolist(), strict=True) if groups.join(a, b)]
+                out += [(value, uid[a], uid[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True) if groups.join(uid[a], uid[b])]
+                out += [(value, x, None) for x in uid if groups.root(x) == x]
             cols = list(zip(*out, strict=True)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["unit", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["value", "a", "b"])
 
-    return arrow_map(units, run, "unit string, a long, b long")
+    return arrow_map(units.select("value", "rows"), run, "value long, a long, b long")
 
 
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -221,6 +237,23 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return arrow_map(pairs.select("a", "b", "a_text", "b_text"), run, "a long, b long")
 
 
+def _open_pairs(units: DataFrame, m: int, least: float, threshold: float) -> DataFrame:
+    """``(unit, band, uid)`` of the vertices with a candidate pair across components."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = batch.column(2)[k].as_py()
+                unit = {c: [x[c] for x in rows] for c in ("uid", "n", "part", "sig", "component")}
+                component = np.array(unit["component"])
+                i, j, _ = _candidates(unit, least, threshold, m)
+                apart = component[i] != component[j]
+                found = [unit["uid"][x] for x in np.unique(np.concatenate([i[apart], j[apart]])).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(found), pa.string()), pa.array([batch.column(1)[k].as_py()] * len(found), pa.int32()), pa.array(found, pa.int64())], ["unit", "band", "uid"])
+
+    return arrow_map(units.select("unit", "band", "rows"), run, "unit string, band int, uid long")
+
+
 def _rest(units: DataFrame, m: int, least: float, threshold: float) -> DataFrame:
     """Links between components that the forests did not find: every candidate pair across components is compared.
 
@@ -234,7 +267,7 @@ def _rest(units: DataFrame, m: int, least: float, threshold: float) -> DataFrame
             for k in range(batch.num_rows):
                 rows = batch.column(1)[k].as_py()
                 unit = {c: [x[c] for x in rows] for c in ("uid", "n", "part", "sig", "component", "bands", "text")}
-                band, bands = batch.column(2)[k].as_py(), np.array(unit["bands"])
+                band, bands = batch.column(0)[k].as_py(), np.array(unit["bands"])
                 groups, bags, links = _Groups(unit["component"]), {}, []
                 i, j, _ = _candidates(unit, least, threshold, m)
                 first = np.argmax(bands[i] == bands[j], axis=1) == band if len(i) else np.empty(0, bool)
@@ -250,7 +283,7 @@ def _rest(units: DataFrame, m: int, least: float, threshold: float) -> DataFrame
                 cols = list(zip(*links, strict=True)) if links else [(), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
-    return arrow_map(units, run, "a long, b long")
+    return arrow_map(units.select("band", "rows"), run, "a long, b long")
 
 
 def _equal_registers(a: Column, b: Column, m: int) -> Column:
@@ -271,60 +304,87 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     their own text; a null key never names a component with other keys. An
     empty table gives an empty one.
 
-    Candidate groups may have any size: they are cut into tiles of ``TILE``
-    vertices, a tile pair yields a spanning forest and never all its pairs,
-    and what the forests leave apart is compared exactly in a second pass over
-    the tiles, pair by pair only where components differ.
+    Candidate groups may have any size: see above. A group whose n members lie
+    below the similarity, and so stay apart, costs n * n / 2 comparisons of
+    registers, on tiles: those pairs exist, and none is given up.
     """
     m, least = REGISTERS, LEAST_EQUAL
     own = materialise(signatures(docs, key, text), "signatures")
-    vertices = own.filter("content is not null").groupBy("content").agg(F.min("id").alias("id"), F.first(F.struct("n", "bands", "sig")).alias("v"))
-    vertices = materialise(vertices.select("content", "id", "v.*", F.monotonically_increasing_id().alias("uid")), "vertices")
+    vertices = own.filter("content is not null").groupBy("content").agg(F.min(F.struct("id", "text_hash")).alias("o"), F.first(F.struct("n", "bands", "sig")).alias("v"))
+    vertices = materialise(vertices.select("content", "o.id", "o.text_hash", "v.*", F.monotonically_increasing_id().alias("uid")), "vertices")
 
-    spread = vertices.select("uid", F.posexplode("bands").alias("band", "value")).withColumn("value", F.col("value").bitwiseXOR(F.xxhash64("band")))
-    groups = spread.groupBy("value").agg(F.count("*").alias("size"), F.min("uid").alias("a"), F.max("uid").alias("b")).filter("size > 1")
-    groups = materialise(groups, "groups")
+    spread = vertices.select("uid", "n", F.posexplode("bands").alias("band", "value")).withColumn("value", F.col("value").bitwiseXOR(F.xxhash64("band")))
+    groups = spread.groupBy("value").agg(F.count("*").alias("size"), F.min("uid").alias("a"), F.max("uid").alias("b"), F.sum("n").alias("n"), F.first("band").alias("band")).filter("size > 1")
+    parts = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("n") / TILE_SHINGLES), F.lit(1)).cast("int")
+    groups = materialise(groups.withColumn("parts", F.when(F.col("size") > 2, parts).otherwise(1)), "groups")
 
     side = lambda s: vertices.select(F.col("uid").alias(s), F.col("n").alias(f"{s}_n"), F.col("sig").alias(f"{s}_sig"))
     twos = groups.filter("size = 2").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     twos = twos.filter(F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n"))
-    twos = twos.filter(_equal_registers(F.col("a_sig"), F.col("b_sig"), m) >= least * m).select(F.lit(None).cast("string").alias("unit"), "a", "b")
-
-    parts = F.ceil(F.col("size") / TILE).cast("int")
-    tiled = spread.join(groups.filter("size > 2").select("value", "size"), "value").withColumn("parts", parts)
-    tiled = tiled.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(7)), "parts").cast("int"))
-    tiled = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    unit = F.concat_ws(":", F.col("value"), F.col("band"), F.least("part", "with"), F.greatest("part", "with"))
-    tiled = tiled.select(unit.alias("unit"), "uid", "part")
-    units = tiled.join(vertices.select("uid", "n", "sig"), "uid").groupBy("unit").agg(F.collect_list(F.struct("uid", "n", "part", "sig")).alias("rows"))
-    tried = materialise(twos.unionByName(_forests(units, m, least, threshold)), "candidates")
-
-    # Texts of the vertices in question; a row of the same key but another content is no vertex.
+    twos = twos.filter(_equal_registers(F.col("a_sig"), F.col("b_sig"), m) >= least * m).select(F.lit(None).cast("long").alias("value"), "a", "b")
+
+    tile = F.pmod(F.xxhash64("uid", F.lit(7)), "parts").cast("int")
+    row = F.struct("uid", "n", F.lit(0).alias("part"), "sig")
+    large = groups.filter("size > 2")
+    members = materialise(spread.select("uid", "value").join(large.select("value", "parts"), "value").withColumn("part", tile), "members")
+    level, tried = members.select("value", "uid", "part"), []
+    while True:
+        units = level.join(vertices.select("uid", "n", "sig"), "uid").groupBy("value", "part").agg(F.collect_list(row).alias("rows"))
+        forest = materialise(_forests(units, m, least, threshold), "forest")
+        tried.append(forest.filter("b is not null"))
+        # Leaders of groups of more than one tile, as long as a tile or more of them is gone.
+        leaders = forest.filter("b is null").join(large.filter("parts > 1").select("value"), "value").select("value", F.col("a").alias("uid"))
+        before = level.groupBy("value").agg(F.countDistinct("part").alias("tiles"), F.count("*").alias("were")).filter("tiles > 1")
+        sizes = leaders.groupBy("value").agg(F.count("*").alias("size")).join(before, "value").filter(f"size > 1 and size <= were - least({TILE}, were div 8)")
+        level = leaders.join(sizes.select("value", F.ceil(F.col("size") / TILE).cast("int").alias("parts")), "value")
+        level = materialise(level.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(8 + len(tried))), "parts").cast("int")).select("value", "uid", "part"), "leaders")
+        if level.isEmpty():
+            break
+    tried = reduce(DataFrame.unionByName, tried, twos)
+    tried = materialise(tried, "candidates")
+
+    # Texts of the vertices in question: of a row with the vertex's key and its hash of the text.
     asked = tried.select(F.col("a").alias("uid")).unionByName(tried.select(F.col("b").alias("uid"))).distinct()
-    asked = asked.join(vertices.select("uid", "content", F.col("id").alias("own")), "uid")
-    pages = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(asked, F.col("id").eqNullSafe(F.col("own")))
-    texts = materialise(_matching(pages), "texts")
+    texts = materialise(_texts(docs, key, text, asked.join(vertices.select("uid", "id", "text_hash"), "uid")), "texts")
     pairs = tried.select("a", "b").distinct()
     for s in "ab":
         pairs = pairs.join(texts.select(F.col("uid").alias(s), F.col("text").alias(f"{s}_text")), s)
     found = connected_components(_verified(pairs, threshold), "near")
     found = materialise(vertices.select("uid").join(found.withColumnRenamed("id", "uid"), "uid", "left").select("uid", F.coalesce("component", "uid").alias("component")), "near-first")
 
-    flagged = tried.filter("unit is not null")
-    flagged = flagged.select("unit", F.col("a").alias("uid")).unionByName(flagged.select("unit", F.col("b").alias("uid"))).distinct().join(found, "uid")
-    open_units = flagged.groupBy("unit").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("unit")
-    flagged = flagged.join(open_units, "unit").join(vertices.select("uid", "n", "sig", "bands"), "uid").join(texts, "uid")
-    flagged = flagged.join(groups.select(F.col("value").cast("string").alias("of"), F.ceil(F.col("size") / TILE).cast("int").alias("parts")), F.split("unit", ":")[0] == F.col("of"))
-    part = F.pmod(F.xxhash64("uid", F.lit(7)), "parts").cast("int")
-    rest = flagged.withColumn("part", part).groupBy("unit").agg(F.collect_list(F.struct("uid", "n", "part", "sig", "component", "bands", "text")).alias("rows"))
-    rest = rest.select("unit", "rows", F.split("unit", ":")[1].cast("int").alias("band"))
+    # Groups that hold more than one component: small ones as they are, of large ones the largest component against the others, and these against each other.
+    held = members.join(found, "uid")
+    counts = held.groupBy("value", "component").agg(F.count("*").alias("c"))
+    main = counts.groupBy("value").agg(F.max_by("component", F.struct("c", F.col("component"))).alias("main"), F.max("c").alias("inside"), F.count("*").alias("kinds")).filter("kinds > 1")
+    main = main.join(large.select("value", "size", "band", "parts"), "value")
+    main = main.withColumn("out_parts", F.ceil((F.col("size") - F.col("inside")) * F.col("parts") / F.col("size")).cast("int"))
+    held = held.drop("parts", "part").join(main, "value")
+    out_part = F.pmod(F.xxhash64("uid", F.lit(7)), "out_parts").cast("int")
+    inner = F.col("component") == F.col("main")
+    of = F.when(F.col("parts") == 1, F.lit(0)).when(inner, -1 - F.pmod(F.xxhash64("uid", F.lit(7)), "parts").cast("int")).otherwise(out_part)
+    held = held.withColumn("of", of)
+    others = F.sequence(F.lit(0), F.col("out_parts") - 1)
+    meet = F.when(F.col("parts") == 1, F.array(F.lit(0))).when(inner, others).otherwise(F.concat(F.sequence(-F.col("parts"), F.lit(-1)), others))
+    held = held.withColumn("with", F.explode(meet))
+    unit = F.concat_ws(":", "value", F.least("of", "with"), F.greatest("of", "with"))
+    units = materialise(held.select(unit.alias("unit"), "band", "uid", "component", F.col("of").alias("part")), "open-units")
+    seen = units.join(vertices.select("uid", "n", "sig"), "uid").groupBy("unit", "band").agg(F.collect_list(F.struct("uid", "n", "part", "sig", "component")).alias("rows"))
+    flagged = materialise(_open_pairs(seen, m, least, threshold), "open-pairs")
+    missing = flagged.select("uid").distinct().join(texts, "uid", "left_anti").join(vertices.select("uid", "id", "text_hash"), "uid")
+    texts = texts.unionByName(_texts(docs, key, text, missing))
+    rest = flagged.join(units.select("unit", "uid", "component", "part"), ["unit", "uid"]).join(vertices.select("uid", "n", "sig", "bands"), "uid").join(texts, "uid")
+    rest = rest.groupBy("unit", "band").agg(F.collect_list(F.struct("uid", "n", "part", "sig", "component", "bands", "text")).alias("rows"))
     further = connected_components(_rest(rest, m, least, threshold), "near-rest")
-    found = found.join(further.select(F.col("id").alias("component"), F.col("component").alias("last")), "component", "left").select("uid", F.coalesce("last", "component").alias("component"))
-
-    known = vertices.select("content", "id", "uid").join(found, "uid")
-    known = known.join(known.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("content", "component_id")
-    out = own.select("id", "content").join(known, "content", "left")
-    out = out.select(F.col("id").alias(key), F.when(F.col("content").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    step = found.select("component").distinct().join(further.select(F.col("id").alias("component"), F.col("component").alias("last")), "component", "left")
+    found = look_up(found, step.select("component", F.coalesce("last", "component").alias("last")), "component").select("uid", F.col("last").alias("component"))
+
+    known = materialise(vertices.select("content", "id", "uid").join(found, "uid"), "near-known")
+    known = look_up(known, known.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("content", "component_id")
+    # Copies of one text may be a third of all rows.
+    known = materialise(known, "near-classes")
+    out = own.filter("content is not null").select("id", "content")
+    out = look_up(out, known, "content").select("id", "component_id").unionByName(own.filter("content is null").select("id", F.col("id").alias("component_id")))
+    out = out.select(F.col("id").alias(key), "component_id")
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 
@@ -340,17 +400,11 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     return docs.join(own, docs[key].eqNullSafe(own["_kept_key"]), "left_semi")
 
 
-def _matching(pages: DataFrame) -> DataFrame:
-    """``uid`` and ``text`` of the rows ``(uid, content, text)`` whose text has that content, one row for each vertex and task."""
-
-    def run(batches):
-        shingles = Shingler()
-        for b in batches:
-            uid, content, text = (b.column(i).to_pylist() for i in range(3))
-            ok = [content_key(shingles(t)) == c for c, t in zip(content, text, strict=True)]
-            yield b.select(["uid", "text"]).filter(pa.array(ok, pa.bool_()))
-
-    return arrow_map(pages.select("uid", "content", "text"), run, "uid long, text string").groupBy("uid").agg(F.first("text").alias("text"))
+def _texts(docs: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
+    """``uid`` and ``text`` of the vertices ``(uid, id, text_hash)``, from one row each with that key and that hash of its text."""
+    rows = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("text")).withColumn("_hash", F.xxhash64("text"))
+    found = rows.join(asked, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash")))
+    return found.groupBy("uid").agg(F.first("text").alias("text"))
 
 
 def op1_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,16 +163,14 @@ def _counts(sample: DataFrame, terms: set[str] | None = None) -> DataFrame:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = fold_words(text)
                 for u, n in units(words).items():
-                    if len(u) <= 64:
-                        c = seen.setdefault(u, [0, 0, 0, 0, 0])
-                        c[toxic] += 1
-                        c[2 + toxic] += min(n, MAX_REPEATS)
+                    c = seen.setdefault(u, [0, 0, 0, 0, 0])
+                    c[toxic] += 1
+                    c[2 + toxic] += min(n, MAX_REPEATS)
                 if toxic and terms is None:
                     for u, v in zip(["", *words], words):
                         bit = 1 << zlib.crc32(u.encode()) % 63
                         for x in (v, *(f"{v[:n]}*" for n in STEMS if len(v) > n)):
-                            if len(x) <= 64:
-                                seen[x][4] |= bit
+                            seen[x][4] |= bit
             cols = zip(*seen.values(), strict=True) if seen else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names)
 
@@ -183,10 +181,11 @@ def _counts(sample: DataFrame, terms: set[str] | None = None) -> DataFrame:
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> ToxicityModel:
     """Learns from the rows of ``labelled``, which ``training_rows`` bounds.
 
-    Rows without a label are left out. With no row of either label the
-    lexicon is empty and every score is the same low value. What reaches the
-    driver is bounded: ``MAX_TERMS`` terms, ``MAX_EXCEPTIONS`` phrases and two
-    numbers for each row.
+    Rows without a label are left out; null and empty texts count as rows
+    without words, words of any length may become terms. With no row of
+    either label the lexicon is empty and every score is the same low value.
+    What reaches the driver is bounded: ``MAX_TERMS`` terms,
+    ``MAX_EXCEPTIONS`` phrases and two numbers for each of the rows.
     """
     sample = labelled.filter(F.col(label).isNotNull()).select(F.col(text).alias("text"), (F.col(label) > 0).cast("int").alias("toxic"))
     sample = spread(materialise(sample, "toxicity-sample"))
@@ -216,7 +215,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Toxici
 
 
 def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``score`` (0 to 1) of every row; null and empty texts score as texts without hits."""
+    """``key`` and ``score`` (0 to 1) of every row, from the whole of its text.
+
+    Null and empty texts score as texts without hits. Repeated keys and rows
+    are scored each by itself, equal texts alike; an empty table gives an
+    empty one. Other columns are not read.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -229,7 +233,11 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns as they were, that score below ``threshold``."""
+    """The rows of ``docs``, columns as they were, that score below ``threshold``; a tie with it goes.
+
+    Null and empty texts have no hit and stay unless the model gives all such
+    texts the threshold. Rows are judged one by one, repeated ones alike.
+    """
     at = docs.columns.index(text)
 
     def run(batches):
@@ -245,11 +253,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", max_r
     """``text`` and ``toxic`` of at most ``max_rows`` labelled keys outside the held-out rows, those with the smallest hashes.
 
     A label given twice counts as toxic if one is. The chosen keys are
-    broadcast, as ``max_rows`` bounds them: the documents are not shuffled.
+    broadcast, as ``max_rows`` bounds them: of the documents only theirs are
+    shuffled. Of rows that share a key the least text is taken, so that the
+    rows are bounded too. Null keys match nothing.
     """
     own = labels.filter(~held_out(F.col(key)) & F.col("toxic").isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     own = own.orderBy(F.xxhash64(key), key).limit(max_rows)
-    return docs.select(key, "text").join(F.broadcast(own), key).select("text", "toxic")
+    return docs.select(key, "text").join(F.broadcast(own), key).groupBy(key).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
