@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,16 +56,30 @@ def score_threshold(hits: DataFrame, threshold: float | None, mode: str = "mixed
 def token_budget(hits: DataFrame, budget: int = TOKEN_BUDGET, keys: Sequence[str] = ("query_id",), cost: str = "tokens") -> DataFrame:
     """Hits in order as long as they fit; one that does not is skipped and later ones still count.
 
-    That depends on the order in a way no window expresses, so the costs of
-    a query are folded. A query has no more hits than its retrievers' top-k.
+    That depends on the order in a way no window expresses, so the narrow rows
+    of a query (its place and cost) stream through one task in order, which
+    holds a single sum and no list. Null keys are keys like others; a null
+    cost is none.
     """
-    lists = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.col(cost).cast("long").alias("cost")))).alias("l"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
-    step = lambda s, x: F.when(
-        s["used"] + x["cost"] <= budget, F.struct((s["used"] + x["cost"]).alias("used"), F.concat(s["kept"], F.array(x["pos"])).alias("kept"))
-    ).otherwise(s)
-    kept = lists.select(*keys, F.explode(F.aggregate("l", start, step)["kept"]).alias("pos"))
-    return hits.join(kept, [*keys, "pos"], "left_semi")
+    names = list(keys)
+    narrow = hits.select(*names, "pos", F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("_cost")).filter(F.col("_cost") <= budget)
+    narrow = narrow.repartition(*names).sortWithinPartitions(*names, "pos") if names else narrow.coalesce(1).sortWithinPartitions("pos")
+
+    def run(batches):
+        last, used = None, 0
+        for b in batches:
+            fits = []
+            for *key, price in zip(*(b.column(i).to_pylist() for i in [*range(len(names)), len(names) + 1]), strict=True):
+                if key != last:
+                    last, used = key, 0
+                fits.append(used + price <= budget)
+                used += price * fits[-1]
+            yield b.filter(pa.array(fits, pa.bool_())).drop_columns(["_cost"])
+
+    kept = narrow.mapInArrow(run, narrow.drop("_cost").schema)
+    kept = kept.select(*(F.col(c).alias(f"_{c}") for c in [*names, "pos"]))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*names, "pos"]))
+    return hits.join(kept, same, "left_semi")
 
 
 def filter_chain(hits: DataFrame, threshold: float | None = None, mode: str = "mixed", budget: int = TOKEN_BUDGET, keys: Sequence[str] = ("query_id",)) -> DataFrame:

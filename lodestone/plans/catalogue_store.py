@@ -84,7 +84,7 @@ def pending_chunks(spark, sf_dir):
 
 
 def document_upsert(spark, sf_dir):
-    incoming = _read(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select((F.col("o_custkey") + F.col("o_orderkey") % 3).cast("string").alias("dataset_id"), F.col("o_orderpriority").alias("filename"), F.md5(F.col("o_orderstatus").cast("binary")).cast("binary").alias("content_hash"), F.lit(None).cast("int").alias("page_count"), F.lit(3).alias("total_chunks"))
+    incoming = _read(spark, sf_dir, "orders").select((F.col("o_custkey") + F.col("o_orderkey") % 3).cast("string").alias("dataset_id"), F.col("o_orderpriority").alias("filename"), F.md5(F.col("o_orderstatus").cast("binary")).cast("binary").alias("content_hash"), F.lit(None).cast("int").alias("page_count"), F.lit(3).alias("total_chunks"))
     merged = store.upsert_documents(_documents(spark, sf_dir), incoming, _now())
     return merged.select("id", "dataset_id", "filename", "status", "generation", "total_chunks", "is_resume")
 
@@ -143,7 +143,7 @@ ORACLE_SQL = {
     "pending_chunks": f"""with {_ITEMS} select distinct l_orderkey::varchar as document_id, (l_linenumber + l_orderkey % 2)::int as chunk_index from lineitem l
         where not exists (select 1 from items i where not gone and i.l_orderkey = l.l_orderkey and i.l_linenumber = l.l_linenumber + l.l_orderkey % 2)""",
     "document_upsert": f"""with {_DOCS}, a as (select *, row_number() over (partition by dataset_id, filename, gone order by generation desc) = 1 and not gone as top from docs),
-        i as (select (o_custkey + o_orderkey % 3)::varchar as dataset_id, o_orderpriority as filename, min(md5(o_orderstatus)) as hash from orders where o_orderkey % 7 = 0 group by 1, 2),
+        i as (select (o_custkey + o_orderkey % 3)::varchar as dataset_id, o_orderpriority as filename, min(md5(o_orderstatus)) as hash from orders group by 1, 2),
         x as (select a.*, i.hash from a left join i on a.top and a.dataset_id = i.dataset_id and a.filename = i.filename)
         select id, dataset_id, filename, case when hash is not null or generation % 2 = 0 then 'running' else 'completed' end as status, (generation + (hash is not null)::int)::int as generation,
           (case when hash is not null then 3 else total_chunks end)::int as total_chunks, coalesce(hash = md5(s) and generation % 2 = 0, false) as is_resume from x

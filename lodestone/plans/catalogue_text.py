@@ -31,8 +31,8 @@ def presplit(spark, sf_dir):
 
 
 def md_base64_strip(spark, sf_dir):
-    rough = F.concat(F.substring("text", 1, 30), F.lit("![a b](data:image/png;base64,iVBORw0+/=)"), F.substring("text", 1, 10), F.lit("![x](http://y)"))
-    return _docs(spark, sf_dir).select("doc_id", X.strip_base64_images(rough).alias("text"))
+    rough = F.concat("text", F.lit("![a b](data:image/png;base64,iVBORw0+/=)"), "text", F.lit("![x](http://y)"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(X.strip_base64_images(rough).cast("binary")).alias("digest"))
 
 
 def title_extract(spark, sf_dir):
@@ -84,7 +84,7 @@ def pdf_text(spark, sf_dir):
 
 
 def markdown_tables(spark, sf_dir):
-    table = F.concat(F.lit("|a|b|\n|---|:-:|\n|"), F.substring("text", 1, 5), F.lit("|"), F.when(F.col("doc_id") % 2 == 0, F.lit("x|")).otherwise(F.lit("x")))
+    table = F.concat(F.lit("|a|b|\n|---|:-:|\n|"), F.regexp_replace("text", r"\s+", " "), F.lit("|"), F.when(F.col("doc_id") % 2 == 0, F.lit("x|")).otherwise(F.lit("x")))
     return _docs(spark, sf_dir).select("doc_id", X.is_markdown_table(table).alias("is_table"), X.is_code_block(F.concat(F.lit("```\n"), "text", F.lit("\n``` "))).alias("is_code"))
 
 
@@ -123,7 +123,7 @@ _LINES = r"""raw as (select doc_id, unnest(string_split_regex(text, '\.\n')) as
 ORACLE_SQL = {
     "valid_length": r"select doc_id, length(regexp_replace(text, '\s+', '', 'g'))::int as n from documents",
     "text_normalise": r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(' ' || chr(9) || replace(text, chr(10), chr(10) || chr(10) || chr(10)) || chr(7) || '.', chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '[\x00-\x08\x0b-\x1f\x7f]', ' ', 'g'), '^\s+|\s+$', '', 'g')) as digest from documents""",
-    "md_base64_strip": "select doc_id, substr(text, 1, 30) || substr(text, 1, 10) || '![x](http://y)' as text from documents",
+    "md_base64_strip": "select doc_id, md5(text || text || '![x](http://y)') as digest from documents",
     "title_extract": rf"""select page_id, coalesce(nullif(trim(regexp_extract(html, '(?m)^#{{1,5}}\s+(.+)$', 1)), ''), nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '\s+', ' ', 'g')), ''), {_FILENAME}) as title from pages""",
     "heading_count": r"select doc_id, len(regexp_extract_all(replace(text, chr(10), chr(10) || '# '), '(?m)^#{1,5}\s+\S+'))::int as headings from documents",
     "sliding_window_chunks": """select doc_id, i::int as chunk_index, length(substr(text, i * 1000 + 1, 1000))::int as size, md5(substr(text, i * 1000 + 1, 1000)) as digest
@@ -138,7 +138,7 @@ ORACLE_SQL = {
         g as (select *, case when alone or lag(alone, 1, true) over w or regexp_matches(lag(line) over w, '[。.!?！？]\s*$') then 1 else 0 end as starts from f window w as (partition by doc_id order by i)),
         h as (select *, sum(starts) over (partition by doc_id order by i) as grp from g)
         select doc_id, (grp - 1)::int as line_no, string_agg(line, ' ' order by i) as line from h group by doc_id, grp""",
-    "markdown_tables": "select doc_id, doc_id % 2 = 0 and substr(text, 1, 5) not like '%' || chr(10) || '%' as is_table, true as is_code from documents",
+    "markdown_tables": "select doc_id, doc_id % 2 = 0 as is_table, true as is_code from documents",
     "read_encodings": "select doc_id || '.txt' as filename, md5(text) as digest from documents",
     "embed_texts": "select doc_id, 16 as dim, null::varchar as embed_error from documents",
 }
