@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,11 @@ from lodestone.session import spread
 
 #: Decimals of a score: engines agree to these, and ties are broken by id.
 DECIMALS = 6
-#: Queries that one pass over the chunks answers; their vectors travel with the tasks.
+#: Queries in a block and vectors in a tile: one matrix product.
 QUERY_BLOCK = 2048
+TILE_ROWS = 4096
+#: Bytes of query vectors up to which their blocks are broadcast; more meet the tiles in a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def vector_topk(chunks: DataFrame, query: Sequence[float], k: int = 10, chunk_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
@@ -31,74 +35,116 @@ def vector_topk(chunks: DataFrame, query: Sequence[float], k: int = 10, chunk_id
     return ranked(top.drop(vector), [], F.desc("score"), F.asc(chunk_id)).withColumn("source", F.lit("vector"))
 
 
+def _unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows that have a direction, and which rows these are; the rows have one length."""
+    lengths = np.diff(column.offsets.to_numpy())
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), int(lengths[0]) if len(lengths) else 0)
+    n = np.linalg.norm(x, axis=1)
+    good = np.nonzero(np.isfinite(n) & (n > 0))[0]
+    return x[good] / n[good, None], good
+
+
+def _tiles(chunks: DataFrame, id_kind: str) -> DataFrame:
+    """``(g, dim, ids, raw)``: the vectors of a task packed by group and length, with no shuffle."""
+
+    def run(batches):
+        kind = None
+        held: dict = {}
+
+        def out(key):
+            ids, raw = zip(*held.pop(key), strict=True)
+            ids = pa.concat_arrays(ids)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), lists, pa.array([np.concatenate(raw).tobytes()], pa.binary())], ["g", "dim", "ids", "raw"])
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            # Null vectors and those with null components have no cosine.
+            whole = np.array([v.is_valid and v.values.null_count == 0 and len(v) > 0 for v in b.column(1)], bool)
+            b = b.filter(pa.array(whole))
+            sizes, groups = np.diff(b.column(1).offsets.to_numpy()), np.array(b.column(2).to_pylist(), object)
+            for key in sorted(set(zip(groups.tolist(), sizes.tolist(), strict=True)), key=repr):
+                at = np.nonzero((groups == key[0]) & (sizes == key[1]))[0]
+                own = b.take(pa.array(at))
+                unit, good = _unit_rows(own.column(1))
+                if len(good):
+                    held.setdefault(key, []).append((own.column(0).take(pa.array(good)), unit))
+                    if sum(len(i) for i, _ in held[key]) >= TILE_ROWS:
+                        yield out(key)
+        for key in list(held):
+            yield out(key)
+
+    return chunks.mapInArrow(run, f"g string, dim int, ids array<{id_kind}>, raw binary")
+
+
 def vector_topk_batch(
     chunks: DataFrame, queries: DataFrame, k: int = 10, chunk_id: str = "chunk_id", vector: str = "embedding", query_id: str = "query_id", block: int = QUERY_BLOCK, group: str | None = None, groups: str | None = None
 ) -> DataFrame:
     """``(query_id, chunk_id, score, pos)``: the top ``k`` for each of many query vectors, exactly.
 
-    Queries come in blocks of ``block``; for each the chunks are scanned once, a
-    matrix product scores a batch, and each task keeps ``k`` rows a query
-    before the shuffle. Rows are narrow: join texts afterwards. With ``group``,
-    a column of the chunks, and ``groups``, an array column of the queries, each
-    query meets the groups that it names and has a top ``k`` in each of them.
+    Any number of queries is one plan: they form blocks, chunks form tiles
+    where they lie, each tile meets the blocks of its group and length, and a
+    matrix product scores them. A task keeps about ``k`` rows a query before
+    the shuffle. Blocks are broadcast up to ``BROADCAST_BYTES``; beyond, tiles
+    and blocks are shuffled by block. Rows are narrow: join texts afterwards.
+    With ``group``, a column of the chunks, and ``groups``, an array column of
+    the queries, each query meets the groups that it names and has a top ``k``
+    in each of them. Vectors that are null, zero, not finite or of another
+    length have no cosine and are left out; a repeated query id gives one
+    ranking over its rows.
     """
     id_kind, q_kind = chunks.schema[chunk_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    no_group = F.lit("").alias("g")
-    wanted = queries.filter(F.size(vector) > 0).select(query_id, F.col(vector).cast("array<double>").alias("v"), F.array_distinct(F.col(groups).cast("array<string>")).alias("g") if groups else F.array(F.lit("")).alias("g"))
-    narrow = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"), F.col(group).cast("string").alias("g") if group else no_group)
-
-    def unit(rows: list, dim: int):
-        x = np.array([r if r is not None and len(r) == dim and None not in r else [np.nan] * dim for r in rows], float).reshape(-1, dim)
-        n = np.linalg.norm(x, axis=1)
-        return x / np.where(n > 0, n, np.nan)[:, None]
-
-    def one(asked: list) -> DataFrame:
-        q_type = pa.array([i for i, *_ in asked]).type
-        names = sorted({g for *_, own in asked for g in own}) if group else None
-        part = narrow.filter(F.col("g").isin(names)) if names is not None and len(names) <= 100 else narrow
-
-        def run(batches):
-            by: dict = {}  # (group, length of the vector) -> queries
-            for i, v, own in asked:
-                for g in own:
-                    by.setdefault((g, len(v)), []).append((i, v))
-            by = {key: ([i for i, _ in b], unit([v for _, v in b], key[1])) for key, b in by.items()}
-            best: dict = {}
-            kind = None
-            for batch in batches:
-                kind = batch.schema.field(0).type
-                rows: dict = {}
-                for n, v, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    rows.setdefault(g, ([], []))[0].append(n)
-                    rows[g][1].append(v)
-                for (g, dim), (ids, q) in by.items():
-                    if g not in rows:
-                        continue
-                    own, vectors = rows[g]
-                    s = np.round(q @ unit(vectors, dim).T, DECIMALS)
-                    s[np.isnan(s)] = -np.inf
-                    for r, i in enumerate(ids):
-                        # What ties with the k-th stays, so that ids decide.
-                        bound = np.partition(s[r], -k)[-k] if s.shape[1] > k else -np.inf
-                        at = np.nonzero((s[r] >= bound) & np.isfinite(s[r]))[0]
-                        best[g, i] = sorted([*best.get((g, i), ()), *((-float(s[r, j]), own[j]) for j in at)], key=lambda x: (x[0], x[1] is None, x[1]))[:k]
-            if kind is not None:
-                flat = [(i, n, -s, g) for (g, i), b in best.items() for s, n in b]
-                cols = list(zip(*flat, strict=True)) if flat else [()] * 4
-                kinds = [q_type, kind, pa.float64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["query_id", "chunk_id", "score", "g"])
-
-        return part.mapInArrow(run, f"query_id {q_kind}, chunk_id {id_kind}, score double, g string")
-
-    found, asked = None, []
-    for r in wanted.toLocalIterator(prefetchPartitions=True):
-        asked.append((r[0], r[1], r[2] or []))
-        if len(asked) == block:
-            part, asked = one(asked), []
-            found = part if found is None else found.unionByName(part)
-    if asked or found is None:
-        part = one(asked) if asked else narrow.limit(0).select(F.lit(None).cast(q_kind).alias("query_id"), "chunk_id", F.lit(0.0).alias("score"), "g")
-        found = part if found is None else found.unionByName(part)
+    named = F.array_distinct(F.col(groups).cast("array<string>")) if groups else F.array(F.lit(""))
+    wanted = queries.filter(F.size(vector) > 0).select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v"), F.explode(named).alias("g")).filter("g is not null")
+    wanted = wanted.filter(F.forall("v", lambda x: x.isNotNull())).withColumn("dim", F.size("v"))
+    narrow = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"), F.col(group).cast("string").alias("g") if group else F.lit("").alias("g"))
+    if group:
+        narrow = narrow.filter("g is not null")
+    n, size = wanted.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0)) * 8).first()
+    parts = max(1, -(-n // block))
+    blocks = wanted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).groupBy("g", "dim", "block").agg(F.collect_list(F.struct("query_id", "v")).alias("asked"))
+    tiles = _tiles(narrow, id_kind)
+    if size <= BROADCAST_BYTES:
+        pairs = tiles.join(F.broadcast(blocks), ["g", "dim"])
+    else:
+        pairs = tiles.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(blocks, ["g", "dim", "block"])
+
+    def run(batches):
+        found: list[pa.Table] = []
+        bounds: dict = {}  # (group, length, block) -> the k-th score of each query so far
+        held = 0
+
+        def best() -> pa.Table:
+            t = pa.concat_tables(found).sort_by([("query_id", "ascending"), ("g", "ascending"), ("score", "descending"), ("chunk_id", "ascending")])
+            new = np.ones(len(t), bool)
+            q, g = t.column("query_id").combine_chunks(), t.column("g").combine_chunks()
+            if len(t) > 1:
+                same = pc.and_(pc.fill_null(pc.equal(q[1:], q[:-1]), False), pc.equal(g[1:], g[:-1]))
+                new[1:] = ~same.to_numpy(zero_copy_only=False)
+            start = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
+            return t.filter(pa.array(np.arange(len(t)) - start < k))
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                g, dim, ids, raw, place, asked = (batch.column(c)[r] for c in range(6))
+                dim, ids = dim.as_py(), ids.values
+                q, good = _unit_rows(asked.values.field("v"))
+                names = asked.values.field("query_id").take(pa.array(good))
+                s = np.round(q @ np.frombuffer(raw.as_py()).reshape(-1, dim).T, DECIMALS)
+                if not s.size:
+                    continue
+                low = bounds.setdefault((g.as_py(), dim, place.as_py()), np.full(len(q), -np.inf))
+                if s.shape[1] >= k:  # what ties with the k-th stays, so that ids decide
+                    np.maximum(low, np.partition(s, -k, axis=1)[:, -k], out=low)
+                i, j = np.nonzero(s >= low[:, None])
+                found.append(pa.table({"query_id": names.take(pa.array(i)), "chunk_id": ids.take(pa.array(j)), "score": s[i, j], "g": pa.repeat(g, len(i))}))
+                held += len(i)
+                if held > 1_000_000:
+                    found, held = [best()], 0
+        if found:
+            yield from best().to_batches()
+
+    found = pairs.select("g", "dim", "ids", "raw", "block", "asked").mapInArrow(run, f"query_id {q_kind}, chunk_id {id_kind}, score double, g string")
     keys = ["query_id", "g"] if group else ["query_id"]
     out = ranked(found, keys, F.desc("score"), F.asc("chunk_id"), limit=k)
     return out.withColumnRenamed("g", group) if group else out.drop("g")
@@ -142,13 +188,17 @@ def fulltext_topk(index: DataFrame, queries: DataFrame, k: int = 10, keys: Seque
 def siblings(chunks: DataFrame, hits: DataFrame, window: int) -> DataFrame:
     """Chunks of the same dataset and title whose index lies within ``window`` of a hit's: (hit fields, sibling as struct).
 
-    An equi-join on dataset and title with the range as its rest. It is not
-    restricted to the hit's document.
+    An equi-join on dataset, title and a stretch of ``2 * window + 1`` indices:
+    a hit asks the two or three stretches that it touches, so that a common
+    title is no hot key. It is not restricted to the hit's document.
     """
+    width = 2 * window + 1
     right = chunks.select(F.col("dataset_id").alias("_d"), F.col("parent_title").alias("_t"), F.col("chunk_index").alias("_i"), F.struct(*chunks.columns).alias("sibling"))
-    low = F.greatest(F.lit(0), F.col("chunk_index") - window)
-    same = (F.col("dataset_id") == F.col("_d")) & (F.col("parent_title") == F.col("_t")) & F.col("_i").between(low, F.col("chunk_index") + window)
-    return hits.join(right, same).drop("_d", "_t", "_i")
+    right = right.withColumn("_s", F.floor(F.col("_i") / width))
+    low, high = F.greatest(F.lit(0), F.col("chunk_index") - window), F.col("chunk_index") + window
+    left = hits.withColumn("_at", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+    same = (F.col("dataset_id") == F.col("_d")) & (F.col("parent_title") == F.col("_t")) & (F.col("_at") == F.col("_s")) & F.col("_i").between(low, high)
+    return left.join(right, same).drop("_d", "_t", "_i", "_s", "_at")
 
 
 def expand_parents(hits: DataFrame, chunks: DataFrame, window: int, decay: float = 0.5, keys: Sequence[str] = ("query_id",)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,18 +14,27 @@ from lodestone.session import shared_dir
 
 
 def _stored(spark, sf_dir):
-    """A warehouse with the benchmark's texts as two datasets."""
+    """A warehouse with all documents, whole, as two datasets."""
     root = f"{shared_dir(spark).rstrip('/')}/warehouse-{uuid.uuid4().hex}"
     warehouse = ingest.Warehouse(spark, root)
-    texts = _read(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("item-"), "item_id", F.lit(".txt")).alias("filename"), "text", F.lit(None).cast("string").alias("format_text"), F.lit(None).cast("int").alias("page_count"), F.lit(None).cast("struct<code:string,message:string>").alias("error"))
+    atexit.register(_drop, warehouse)
+    texts = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("item-"), "doc_id", F.lit(".txt")).alias("filename"), "text", F.lit(None).cast("string").alias("format_text"), F.lit(None).cast("int").alias("page_count"), F.lit(None).cast("struct<code:string,message:string>").alias("error"))
     for name, parity in (("even", 0), ("odd", 1)):
-        ingest.ingest_texts(warehouse, texts.filter(F.col("item_id") % 2 == parity).drop("item_id"), name)
+        ingest.ingest_texts(warehouse, texts.filter(F.col("doc_id") % 2 == parity).drop("doc_id"), name)
     return warehouse
 
 
+def _drop(warehouse) -> None:
+    try:
+        warehouse.drop()
+    except Exception:  # the session has ended: nothing is left to remove it with
+        pass
+
+
 def _asked(warehouse, spark, sf_dir):
+    """The whole texts of the documents whose id 100 divides, asked of both datasets."""
     ids = [r["id"] for r in warehouse.read("datasets").orderBy("id").collect()]
-    queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.substring("text", 1, 40).alias("query"))
+    queries = _read(spark, sf_dir, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").cast("string").alias("query_id"), F.col("text").alias("query"))
     return queries.withColumn("dataset_ids", F.array(*map(F.lit, ids)))
 
 
@@ -35,14 +45,14 @@ def ingest_pipeline(spark, sf_dir):
 
 
 def search_pipeline(spark, sf_dir):
-    """The benchmark's beginnings as queries over both datasets, with parents and citations."""
+    """Whole texts as queries over both datasets, with parents and citations."""
     warehouse = _stored(spark, sf_dir)
     cited = search.search(warehouse.read("chunks"), _asked(warehouse, spark, sf_dir), SearchConfig(top_k=5, parent_window=1))
     return cited.select("query_id", "cite_id", "filename", "chunk_index", F.round("score", 9).alias("score"))
 
 
 def eval_pipeline(spark, sf_dir):
-    """Each text must be found by its own beginning."""
+    """Each text must find its own chunks."""
     warehouse = _stored(spark, sf_dir)
     chunks = warehouse.read("chunks")
     truth = chunks.select(F.regexp_extract("filename", r"\d+", 0).alias("query_id"), "id").groupBy("query_id").agg(F.collect_list("id").alias("ground_truth_chunk_ids"))

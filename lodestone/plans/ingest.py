@@ -89,7 +89,9 @@ def ingest_texts(warehouse: Warehouse, texts: DataFrame, dataset: str, embedder:
     good = seams.normalise_structure(texts.filter("error is null"), restructure, mode, pause=pause)
     chunks = chunk_documents(good.select("filename", "page_count", "text", "format_text"), "text", "format_text", settings)
     document = store.stable_id(F.lit("document"), F.lit(dataset_id), "filename")
-    chunks = chunks.withColumn("dataset_id", F.lit(dataset_id)).withColumn("document_id", document)
+    # Reading and cutting run once: hashes, counts and rows to store come from the table of this run.
+    warehouse.commit("chunks_cut", chunks.withColumn("dataset_id", F.lit(dataset_id)).withColumn("document_id", document))
+    chunks = warehouse.read("chunks_cut")
     hashes = store.content_hash(chunks)
     counts = chunks.groupBy("document_id").agg(F.count("*").cast("int").alias("total_chunks"))
     incoming = texts.select(F.lit(dataset_id).alias("dataset_id"), "filename", "page_count", document.alias("document_id"), F.col("error.code").alias("read_error"))
