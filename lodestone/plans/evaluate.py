@@ -11,6 +11,7 @@ from lodestone import schema
 from lodestone.config import EvalConfig, SearchConfig
 from lodestone.operators import evaluation
 from lodestone.plans import search, seams
+from lodestone.session import materialise
 from lodestone.sources.readers import read_json_lines
 
 
@@ -56,7 +57,7 @@ def evaluate(records: DataFrame, hits: DataFrame, responses: DataFrame | None =
 def run(chunks: DataFrame, records: DataFrame, search_config: SearchConfig | None = None, config: EvalConfig | None = None, embedder: seams.Embedder | None = None, writer: seams.Writer = seams.extract_answer, **options) -> EvalReport:
     """Searches for every record in one plan and evaluates the hits and answers."""
     queries = records.select("query_id", "query", "dataset_ids")
-    hits = search.search(chunks, queries, search_config, embedder).cache()
+    hits = materialise(search.search(chunks, queries, search_config, embedder), "eval-hits")
     responses = search.answer(hits, queries, writer).select("query_id", "response")
     return evaluate(records, hits, responses, config, **options)
 

@@ -16,6 +16,12 @@ from lodestone.plans import seams
 from lodestone.sources import readers
 
 
+#: Skipped files that a report names; it counts the others.
+NAMED_FILES = 1000
+#: Versions of a table that stay, for readers that have begun.
+KEPT_VERSIONS = 3
+
+
 class Warehouse:
     """The tables of one root folder. A commit writes a new version and then moves the pointer to it: one writer at a time."""
 
@@ -55,7 +61,11 @@ class Warehouse:
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(f"{self.root}/{name}/v{self.version(name) + 1}")
+        n = self.version(name) + 1
+        writer.parquet(f"{self.root}/{name}/v{n}")
+        if n > KEPT_VERSIONS:
+            fs, old = self._fs(f"{self.root}/{name}/v{n - KEPT_VERSIONS}")
+            fs.delete(old, True)
 
     def truncate(self) -> None:
         for name, of in self.SCHEMAS.items():
@@ -130,8 +140,10 @@ def ingest_texts(warehouse: Warehouse, texts: DataFrame, dataset: str, embedder:
 def ingest_paths(warehouse: Warehouse, paths: list[str], dataset: str, **options) -> IngestReport:
     """Files and folders; those that are hidden, too large or missing give a warning."""
     files, warnings = readers.list_files(warehouse.spark, paths)
-    skipped = files.filter(~F.col("eligible")).select("path").limit(1000).collect()
-    warnings += [f"{r[0]}: skipped" for r in skipped]
+    skipped = files.filter(~F.col("eligible")).select("path")
+    named = skipped.orderBy("path").limit(NAMED_FILES).collect()
+    more = skipped.count() - len(named)
+    warnings += [f"{r[0]}: skipped" for r in named] + [f"{more} more files: skipped"] * (more > 0)
     texts = readers.read_files(files.filter("eligible"))
     report = ingest_texts(warehouse, texts, dataset, **options)
     report.warnings = warnings

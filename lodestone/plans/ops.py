@@ -64,6 +64,48 @@ def invalidate(versions: DataFrame, dataset_id: str | None = None) -> DataFrame:
     return versions.withColumn("version", F.when(hit, F.col("version") + 1).otherwise(F.col("version")))
 
 
+class Cache:
+    """Entries of a layer in a table ``cache_<layer>`` of a warehouse, with counts of hits, misses and failures.
+
+    A cache never fails a request: what cannot be read is a miss, what cannot be
+    written is not there, and both count as unavailable.
+    """
+
+    def __init__(self, warehouse, layer: str, now: Column | None = None):
+        self.warehouse, self.layer, self.now = warehouse, layer, now
+        self.counts = {"hit": 0, "miss": 0, "unavailable": 0}
+
+    def _entries(self) -> DataFrame | None:
+        name = f"cache_{self.layer}"
+        return self.warehouse.read(name) if self.warehouse.version(name) else None
+
+    def get(self, keys: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """``keys`` with the other columns of their live entries, None without a table of entries, and the keys that have none."""
+        try:
+            entries, found, missed = self._entries(), None, keys
+            if entries is not None:
+                live = live_entries(entries, None, self.now).drop("expires_at")
+                found, missed = keys.join(live, "cache_key"), keys.join(live.select("cache_key"), "cache_key", "left_anti")
+            hit, miss = 0 if found is None else found.count(), missed.count()
+        except Exception:  # a cache that is away costs its gain alone
+            self.counts["unavailable"] += 1
+            return None, keys
+        self.counts["hit"] += hit
+        self.counts["miss"] += miss
+        return found, missed
+
+    def put(self, rows: DataFrame) -> None:
+        """Adds the rows, which hold ``cache_key``; entries of the same key and dead ones go."""
+        try:
+            fresh = cache_entries(rows.dropDuplicates(["cache_key"]), self.layer, F.col("cache_key"), self.now)
+            entries = self._entries()
+            if entries is not None:
+                fresh = fresh.unionByName(live_entries(entries, None, self.now).join(fresh.select("cache_key"), "cache_key", "left_anti"))
+            self.warehouse.commit(f"cache_{self.layer}", fresh)
+        except Exception:  # the request has its result already
+            self.counts["unavailable"] += 1
+
+
 def audit_records(results: DataFrame, now: Column | None = None) -> DataFrame:
     """Counts and lengths of searches, no contents."""
     return results.select(

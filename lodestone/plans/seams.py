@@ -45,15 +45,19 @@ class HashEmbedder:
         return out.tolist()
 
 
-def with_retries(call: Callable, *args, attempts: int = ATTEMPTS, pause: float = 0.5):
-    """The result of ``call``; after the last attempt its error goes on. Pauses grow with the attempt."""
+#: Longest pause between attempts that double it.
+LONGEST_PAUSE = 10.0
+
+
+def with_retries(call: Callable, *args, attempts: int = ATTEMPTS, pause: float = 0.5, double: bool = False):
+    """The result of ``call``; after the last attempt its error goes on. Pauses grow with the attempt, or ``double`` up to ``LONGEST_PAUSE``."""
     for n in range(1, attempts + 1):
         try:
             return call(*args)
         except Exception:  # whatever a remote model raises counts as a failed attempt
             if n == attempts:
                 raise
-            time.sleep(pause * n)
+            time.sleep(min(LONGEST_PAUSE, pause * 2 ** (n - 1)) if double else pause * n)
 
 
 def embed(rows: DataFrame, embedder: Embedder, text: str = "text", vector: str = "embedding", batch: int = EMBED_BATCH, pause: float = 0.5) -> DataFrame:
@@ -167,6 +171,24 @@ def token_counts(text: Column | str) -> Column:
     return X.estimated_tokens(text)
 
 
+def count_tokens(rows: DataFrame, text: str = "text", name: str = "tokens", vocabulary: str | None = None) -> DataFrame:
+    """Adds ``name``: ids that the tokenizer file ``vocabulary`` (JSON, readable by every executor) makes of ``text``, null for null; the estimate without one."""
+    if vocabulary is None:
+        return rows.withColumn(name, token_counts(text))
+    keep = [c for c in rows.columns if c != name]
+    source = rows.select(F.struct(*keep).alias("row"), F.col(text).alias("t"))
+
+    def run(batches):
+        from tokenizers import Tokenizer
+
+        encode = Tokenizer.from_file(vocabulary).encode
+        for b in batches:
+            n = [None if t is None else len(encode(t, add_special_tokens=False).ids) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], ["row", "n"])
+
+    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, n int").select("row.*", F.col("n").alias(name))
+
+
 def normalise_structure(docs: DataFrame, restructure: Callable[[str], str] | None = None, mode: str = "auto", text: str = "text", most: int = 50_000, pause: float = 0.5) -> DataFrame:
     """Lets a model add headings to ``text``; adds ``skipped`` and ``degraded``.
 
@@ -192,7 +214,7 @@ def normalise_structure(docs: DataFrame, restructure: Callable[[str], str] | Non
                         new = with_retries(restructure, t[:most], pause=pause)
                     except Exception:  # the raw text stands in
                         new = None
-                out.append(new or t)
+                out.append(new + t[most:] if new else t)
                 bad.append(not s and not new)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(2), pa.array(bad, pa.bool_())], ["row", "t", "skip", "bad"])
 

@@ -9,7 +9,8 @@ from lodestone import schema
 from lodestone.config import SearchConfig
 from lodestone.errors import SEARCH_INVALID, EngineError
 from lodestone.operators import citations, filters, fusion, retrieval, variants
-from lodestone.plans import seams
+from lodestone.plans import ops, seams
+from lodestone.session import materialise
 
 HIT_FIELDS = ("dataset_id", "document_id", "text", "modality", "image_path", "filename", "parent_title", "chunk_index")
 
@@ -67,13 +68,16 @@ def recall(chunks: DataFrame, asked: DataFrame, config: SearchConfig, embedder:
     return fusion.refuse(fused, "variant_idx", ["query_id"], config.rrf_k)
 
 
-def search(chunks: DataFrame, queries: DataFrame, config: SearchConfig | None = None, embedder: seams.Embedder | None = None, reranker: seams.Reranker | None = None, index: DataFrame | None = None, pause: float = 0.5, datasets: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, config: SearchConfig | None = None, embedder: seams.Embedder | None = None, reranker: seams.Reranker | None = None, index: DataFrame | None = None, pause: float = 0.5, datasets: DataFrame | None = None, provider=None, vocabulary: str | None = None) -> DataFrame:
     """Cited hits of ``queries(query_id, query, dataset_ids)``: ranked, filtered, expanded and numbered.
 
     Texts join last, when few rows are left. A stage without its model leaves
-    the order as it is.
+    the order as it is. ``provider`` proposes variants of the queries that bring
+    no candidates; ``vocabulary`` is the tokenizer file of the token budget.
     """
     config, embedder = config or SearchConfig(), embedder or seams.HashEmbedder()
+    if provider is not None and config.query_extension and "candidates" not in queries.columns:
+        queries = seams.propose_variants(queries, provider, pause=pause)
     stored = schema.active(chunks).withColumnRenamed("id", "chunk_id")
     asked = extended(queries, config, embedder, pause)
     hits = recall(stored, asked, config, embedder, index, pause, schema.active(datasets) if datasets is not None else None)
@@ -81,13 +85,38 @@ def search(chunks: DataFrame, queries: DataFrame, config: SearchConfig | None =
     if config.use_rerank and reranker is not None:
         scores = seams.rerank_scores(hits.join(queries.select("query_id", "query"), "query_id"), reranker)
         hits = fusion.rerank(hits, scores, config.rerank_weight)
-    hits = hits.withColumn("tokens", seams.token_counts("text"))
+    hits = seams.count_tokens(hits, vocabulary=vocabulary)
     hits = filters.filter_chain(hits, config.score_threshold, config.threshold_mode, config.token_budget).drop("tokens")
     if config.parent_window:
         hits = retrieval.expand_parents(hits, stored.select("chunk_id", *HIT_FIELDS), config.parent_window, config.parent_decay)
     return retrieval.cite(hits)
 
 
+#: What a cached hit holds.
+CACHED_FIELDS = ("query_id", "cite_id", "source_name", "chunk_id", "score", "rerank_score", "pos", *HIT_FIELDS)
+
+
+def search_cached(cache: ops.Cache, chunks: DataFrame, queries: DataFrame, versions: DataFrame, config: SearchConfig | None = None, **options) -> DataFrame:
+    """``search``, asking the cache first: only queries without a live entry are searched, and their hits are put there.
+
+    A key holds the query, its datasets and their ``versions(dataset_id,
+    version)``, and the settings, so that a new version of a dataset misses. A
+    cache that cannot be read or written costs its gain and no result.
+    """
+    config = config or SearchConfig()
+    of = queries.select("query_id", F.explode("dataset_ids").alias("dataset_id")).join(versions, "dataset_id", "left")
+    of = of.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("dataset_id", F.coalesce("version", F.lit(0)).alias("version")))).alias("versions"))
+    keyed = queries.join(of, "query_id").withColumn("cache_key", ops.key_column("search", F.col("query"), F.col("versions"), F.lit(repr(config)).alias("settings")))
+    keyed = materialise(keyed, "search-keys")
+    found, missed = cache.get(keyed.select("query_id", "cache_key"))
+    asked = keyed.join(missed.select("query_id"), "query_id", "left_semi").drop("versions", "cache_key")
+    fresh = materialise(search(chunks, asked, config, **options).select(*CACHED_FIELDS), "search-fresh")
+    rows = keyed.select("query_id", "cache_key").join(missed, ["query_id", "cache_key"], "left_semi").join(fresh.groupBy("query_id").agg(F.collect_list(F.struct(*CACHED_FIELDS[1:])).alias("hits")), "query_id", "left")
+    found = None if found is None else materialise(found.select("query_id", "hits"), "search-found")  # as it was before the next line
+    cache.put(rows.drop("query_id"))
+    return fresh if found is None else fresh.unionByName(found.select("query_id", F.explode("hits").alias("h")).select("query_id", "h.*"))
+
+
 def answer(cited: DataFrame, queries: DataFrame, writer: seams.Writer = seams.extract_answer, datasets: DataFrame | None = None) -> DataFrame:
     """One row for each query: response, citations with positions, checks, and the datasets that are missing."""
     context = retrieval.context_of(cited)
