@@ -310,7 +310,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     """
     m, least = REGISTERS, LEAST_EQUAL
     own = materialise(signatures(docs, key, text), "signatures")
-    vertices = own.filter("content is not null").groupBy("content").agg(F.min(F.struct("id", "text_hash")).alias("o"), F.first(F.struct("n", "bands", "sig")).alias("v"))
+    row = F.struct("id", "text_hash")
+    first = F.coalesce(F.min(F.when(F.col("id").isNotNull(), row)), F.min(row))
+    vertices = own.filter("content is not null").groupBy("content").agg(first.alias("o"), F.first(F.struct("n", "bands", "sig")).alias("v"))
     vertices = materialise(vertices.select("content", "o.id", "o.text_hash", "v.*", F.monotonically_increasing_id().alias("uid")), "vertices")
 
     spread = vertices.select("uid", "n", F.posexplode("bands").alias("band", "value")).withColumn("value", F.col("value").bitwiseXOR(F.xxhash64("band")))
