@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_map, table
-from lodestone.llm.components import connected_components, look_up
+from lodestone.llm.components import HOT_KEYS, connected_components, look_up
 from lodestone.session import materialise, spread
 
 SHINGLE = 5
@@ -328,7 +328,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     tile = F.pmod(F.xxhash64("uid", F.lit(7)), "parts").cast("int")
     row = F.struct("uid", "n", F.lit(0).alias("part"), "sig")
     large = groups.filter("size > 2")
-    members = materialise(spread.select("uid", "value").join(large.select("value", "parts"), "value").withColumn("part", tile), "members")
+    # Values of the largest groups, at most bands * HOT_KEYS, are broadcast; the others meet their vertices in a shuffle.
+    known, total = large.select("value", "parts", "size"), vertices.agg(F.count("*").alias("total"))
+    hot = F.broadcast(known.join(F.broadcast(total)).filter(f"size > 64 and size * {HOT_KEYS} > total").select("value", "parts"))
+    rows = spread.select("uid", "value")
+    members = rows.join(hot, "value").unionByName(rows.join(hot.select("value"), "value", "left_anti").join(known.select("value", "parts"), "value"))
+    members = materialise(members.withColumn("part", tile), "members")
     level, tried = members.select("value", "uid", "part"), []
     while True:
         units = level.join(vertices.select("uid", "n", "sig"), "uid").groupBy("value", "part").agg(F.collect_list(row).alias("rows"))
@@ -360,7 +365,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     main = counts.groupBy("value").agg(F.max_by("component", F.struct("c", F.col("component"))).alias("main"), F.max("c").alias("inside"), F.count("*").alias("kinds")).filter("kinds > 1")
     main = main.join(large.select("value", "size", "band", "parts"), "value")
     main = main.withColumn("out_parts", F.ceil((F.col("size") - F.col("inside")) * F.col("parts") / F.col("size")).cast("int"))
-    held = held.drop("parts", "part").join(main, "value")
+    held = look_up(held.drop("parts", "part"), main, "value", members)
     out_part = F.pmod(F.xxhash64("uid", F.lit(7)), "out_parts").cast("int")
     inner = F.col("component") == F.col("main")
     of = F.when(F.col("parts") == 1, F.lit(0)).when(inner, -1 - F.pmod(F.xxhash64("uid", F.lit(7)), "parts").cast("int")).otherwise(out_part)
