@@ -14,28 +14,49 @@ from lodestone.session import materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold of a lexicon learned from ``labels``; a tie with it goes."""
+    """Documents that score below the threshold of a lexicon learned from ``labels``; a tie with it goes.
+
+    Null and empty texts have no hit and stay; repeated rows stay or go
+    together; without labels, or with none of either kind, all stay. All
+    columns, whatever their names, stay as they are.
+    """
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Rows that share an id and a text stay or go together."""
+    """One document of each group of near copies: the one with the smallest id.
+
+    Null and empty texts stay. Rows that share an id stay or go together. All
+    columns, whatever their names, stay as they are.
+    """
     return minhash_dedup.keep_first(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; spans of personal data become the name of their kind and ``n_chars`` follows."""
+    """All documents; spans of personal data become the name of their kind and ``n_chars`` follows.
+
+    Null texts stay null, empty ones empty; a table without ``n_chars`` will do.
+    """
     return pii.redact_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, laid out in the order of the mix of their sources."""
+    """All documents, laid out in the order of the mix of their sources.
+
+    A null source is one of its own; null and repeated ids keep their places,
+    and so do null and empty texts. All columns stay as they are; an empty
+    table gives an empty one.
+    """
     return mixing.laid_out(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document in a sequence, with its token ids; partitions of sequences follow the mix."""
+    """One row for each piece of a document in a sequence, with its token ids; partitions of sequences follow the mix.
+
+    Null and empty texts are their end id alone; repeated rows are packed each
+    by itself; an empty table gives no row.
+    """
     return packing.pack(mixing.as_laid(docs), with_ids=True)
 
 

@@ -173,7 +173,13 @@ def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def media_digest(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Reads each stored file back and digests its payload."""
+    """Reads each stored file back and digests its payload: one row per input row.
+
+    Where ``media`` is null all other columns are null. Rows are independent,
+    repeated ones repeat, files of any size are read whole, and an empty table
+    gives an empty one. A file that is no such container is an error. Columns
+    besides ``key`` and ``media`` are not read.
+    """
     kind = media.schema[key].dataType.simpleString()
     names = ["id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
@@ -181,6 +187,9 @@ def media_digest(media: DataFrame, key: str = "doc_id") -> DataFrame:
         for b in batches:
             rows = []
             for data in b.column(1).to_pylist():
+                if data is None:
+                    rows.append((None,) * 6)
+                    continue
                 index = read_index(data)
                 payload = read_payload(data, index)
                 ranges = ",".join(f"{a}+{n}" for a, n in index["keyframes"])

@@ -1,8 +1,13 @@
 """Small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
+import hashlib
+import zlib
+
 import pytest
 
+import corpus_pipeline
 from lodestone.llm import embedding_dedup, media, minhash_dedup, mixing, packing, pii, pitman_yor, quality, toxicity, url_filter
+from lodestone.session import materialise
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(20_000))
 TEXTS = [
@@ -145,6 +150,32 @@ def test_media(docs):
     assert media.store_media(docs.limit(0)).count() == 0
 
 
+def test_media_digest(spark, docs):
+    """Every column again from the stored bytes, and nulls for a null file."""
+    got = rows_of(media.media_digest(media.store_media(docs)))
+    for r in media.store_media(docs).collect():
+        payload = media.read_payload(bytes(r.media), media.read_index(bytes(r.media)))
+        want = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(r.media), hashlib.sha256(r.media).hexdigest())
+        assert want in [(x.payload_bytes, x.payload_sha256, x.tail_crc32, x.media_bytes, x.media_sha256) for x in got[r.doc_id]]
+    none = spark.createDataFrame([(1, None, "x")], "doc_id long, media binary, feature string")
+    assert tuple(media.media_digest(none).first()) == (1, None, None, None, None, None, None)
+    assert media.media_digest(none.limit(0)).count() == 0
+
+
+def test_stages(spark, docs):
+    """Each stage of the pipeline on the small table, and on an empty one."""
+    labels = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            if name == "packing":
+                table = materialise(table, "test-small")
+            out = stage(spark, table, labels)
+            n = out.count()
+            if name != "packing":
+                assert out.columns == docs.columns
+            assert n == 0 if table is not docs and table.isEmpty() else n > 0
+
+
 def test_packing(docs):
     got = packing.pack(docs, with_ids=True).collect()
     by_sequence, by_doc = {}, {}
