@@ -62,7 +62,7 @@ def hybrid_wrrf(spark, sf_dir):
     """Vector and full-text hits fused, without repeated chunks, above a threshold, numbered as citations."""
     hits = filters.score_threshold(filters.dedup_chunks(_hybrid(spark, sf_dir)), 0.1)
     part = lambda s: F.try_element_at("score_breakdown", F.lit(s))
-    return retrieval.cite(hits).select("query_id", "cite_id", "source_name", "chunk_id", F.round("score", 9).alias("score"), "source", part("vector").alias("vector_score"), part("fulltext").alias("fulltext_score"))
+    return retrieval.cite(hits).select("cite_id", "source_name", "query_id", "chunk_id", F.round("score", 9).alias("score"), "source", part("vector").alias("vector_score"), part("fulltext").alias("fulltext_score"))
 
 
 def score_threshold_mixed(spark, sf_dir):
