@@ -29,15 +29,17 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     found = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = parent = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("up")), f"{name}-parents")
+        parent = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("up")), f"{name}-parents")
         for _ in range(JUMPS):
+            first = parent
             parent = look_up(parent, parent.select(F.col("id").alias("up"), F.col("up").alias("further")), "up").select("id", F.col("further").alias("up"))
-        parent = materialise(parent, f"{name}-parents")
+            parent = materialise(parent, f"{name}-parents")
+            release(first)
         to = lambda c: parent.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up"))
         ends = look_up(look_up(edges, to("a"), "a"), to("b"), "b", edges)
         ends = ends.filter("a_up <> b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct()
         last, edges = edges, materialise(ends, f"{name}-edges")
-        release(first, last)
+        release(last)
         if found is None:
             found = parent.select("id", F.col("up").alias("component"))
         else:
@@ -58,11 +60,17 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, alike: DataFrame | None
 
     Keys that hold more than one in ``HOT_KEYS`` of the rows, fewer than that
     many keys, meet a broadcast; all others meet in a shuffle. ``alike`` has
-    the keys of ``rows`` where it is cheaper to count.
+    the keys of ``rows`` where it is cheaper to count. Both are counted at
+    once, so that a plan holds ``rows`` and ``table`` twice only where a key is
+    hot; ``rows`` should have been written.
     """
     counts = (rows if alike is None else alike).groupBy(key).agg(F.count("*").alias("_n"))
-    hot = counts.join(F.broadcast(counts.agg(F.sum("_n").alias("_all")))).filter(f"_n > 64 and _n * {HOT_KEYS} > _all").select(key)
-    return rows.join(F.broadcast(hot.join(table, key)), key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
+    facts = counts.agg(F.sum("_n").alias("all"), F.max("_n").alias("most")).first()
+    if not facts["most"] or facts["most"] <= 64 or facts["most"] * HOT_KEYS <= facts["all"]:
+        return rows.join(table, key)
+    found = counts.filter((F.col("_n") > 64) & (F.col("_n") * HOT_KEYS > facts["all"])).select(key).collect()
+    hot = rows.sparkSession.createDataFrame(found, counts.select(key).schema)
+    return rows.join(F.broadcast(table.join(F.broadcast(hot), key)), key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -39,6 +39,8 @@ LEAST_EQUAL = 0.64
 #: Vertices and shingles in a tile of a group, about.
 TILE = 256
 TILE_SHINGLES = 200_000
+#: Shingles whose registers are found together, about.
+STEP_SHINGLES = 32_768
 
 _U = np.uint64
 _GOLDEN, _M1, _M2, _BASE = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x100000001B3)
@@ -51,28 +53,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Texts to sorted shingle hashes and their counts; hashes of words are kept in a bounded table."""
+    """Texts to sorted shingle hashes and their counts; a word's hash costs less than its place in a table."""
 
-    def __init__(self, size: int = SHINGLE, most: int = 200_000):
-        self.size, self.most, self.words = size, most, {}
+    def __init__(self, size: int = SHINGLE):
+        self.size = size
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Lower-cased words between white space; a text of fewer words than a shingle is one shingle, an empty one has none."""
         words = (text or "").lower().split()
         if not words:
             return np.empty(0, _U), np.empty(0, np.int64)
-        if len(self.words) > self.most:
-            self.words.clear()
-        known = self.words
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter((known[w] for w in words), _U, len(words))
+        h = _mix(np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words)))
         n = max(1, len(h) - self.size + 1)
         out = np.full(n, min(len(h), self.size), _U)
         for i in range(min(len(h), self.size)):
-            out = out * _BASE + _mix(h[i : i + n])
-        return np.unique(_mix(out), return_counts=True)
+            out *= _BASE
+            out += h[i : i + n]
+        out = np.sort(_mix(out))
+        at = np.flatnonzero(out[1:] != out[:-1]) + 1
+        if len(at) == n - 1:
+            return out, np.ones(n, np.int64)
+        at = np.concatenate([[0], at])
+        return out[at], np.diff(at, append=n)
 
 
 def bag_minhash(hashes: np.ndarray, counts: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -86,33 +88,39 @@ def bag_minhash(hashes: np.ndarray, counts: np.ndarray, m: int = REGISTERS) -> n
     element of weight w takes the points up to w. A point depends on element,
     interval and index alone, so that equal points compare equal.
     """
-    seeds, low, high, weight = [hashes], [np.zeros(len(hashes))], [np.ones(len(hashes))], [counts]
-    level, bound = 1, 1
-    more = counts > bound
-    while more.any():
-        seeds.append(_mix(hashes[more] + np.full(1, level, _U) * _GOLDEN))
-        low.append(np.full(more.sum(), float(bound)))
-        high.append(np.full(more.sum(), 2.0 * bound))
-        weight.append(counts[more])
+    return bag_minhashes([(hashes, counts)], m)[0]
+
+
+def bag_minhashes(bags: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) -> np.ndarray:
+    """``bag_minhash`` of each of some multisets, a row each, in steps that all of them take together."""
+    seeds, weight = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+    home = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+    low, width = np.zeros(len(seeds)), np.ones(len(seeds))
+    level, bound, more = 1, 1, np.flatnonzero(weight > 1)
+    parts = [(seeds, low, width, weight, home)]
+    while len(more):
+        parts.append((_mix(seeds[more] + np.full(1, level, _U) * _GOLDEN), np.full(len(more), float(bound)), np.full(len(more), float(bound)), weight[more], home[more]))
         level, bound = level + 1, bound * 2
-        more = counts > bound
-    seeds, low, high, weight = (np.concatenate(x) for x in (seeds, low, high, weight))
-    width, time, k = high - low, np.zeros(len(seeds)), 0
-    registers = np.full(m, np.inf)
+        more = more[weight[more] > bound]
+    if len(parts) > 1:
+        seeds, low, width, weight, home = (np.concatenate(x) for x in zip(*parts, strict=True))
+    time, k = np.zeros(len(seeds)), 0
+    registers = np.full(len(bags) * m, np.inf)
     while len(seeds):
-        step = int(max(1, min(1024, 4 * m // len(seeds)))) if k == 0 else max(1, min(256, m // len(seeds)))
+        step = max(1, min(64, 8192 // len(seeds))) if k else 1
         z = _mix(seeds[:, None] + np.arange(k + 1, k + step + 1, dtype=_U)[None, :] * _GOLDEN)
         gaps = -np.log(((z >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53) / width[:, None]
         gaps[:, 0] += time
-        arrival = np.cumsum(gaps, axis=1)
+        arrival = np.cumsum(gaps, axis=1) if step > 1 else gaps
         z = _mix(z ^ _M2)
         place = low[:, None] + (z >> _U(11)).astype(np.float64) * 2.0**-53 * width[:, None]
         taken = place < weight[:, None]
-        np.minimum.at(registers, (z % _U(m)).astype(np.int64)[taken], arrival[taken])
+        at = home[:, None] * m + (z % _U(m)).astype(np.int64)
+        np.minimum.at(registers, at[taken], arrival[taken])
         time, k = arrival[:, -1], k + step
-        active = time < registers.max()
-        seeds, low, width, weight, time = (x[active] for x in (seeds, low, width, weight, time))
-    return registers
+        active = np.flatnonzero(time < registers.reshape(-1, m).max(axis=1)[home])
+        seeds, low, width, weight, home, time = (x[active] for x in (seeds, low, width, weight, home, time))
+    return registers.reshape(-1, m)
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -140,15 +148,19 @@ def signatures(docs: DataFrame, key: str, text: str, m: int = REGISTERS, bands:
         shingles = Shingler()
         powers = (_GOLDEN * (np.arange(1, bands * rows + 1, dtype=_U) * _U(2) + _U(1))).reshape(bands, rows)
         for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
+            out = [(None,) * 4] * b.num_rows
+            bags, size = {}, 0
+            for i, t in enumerate(b.column(2).to_pylist()):
                 bag = shingles(t)
-                if not len(bag[0]):
-                    out.append((None,) * 4)
-                    continue
-                value = _mix(bag_minhash(*bag, m).view(_U))
-                keys = _mix((value[: bands * rows].reshape(bands, rows) * powers).sum(axis=1, dtype=_U)).view(np.int64)
-                out.append((content_key(bag), int(bag[1].sum()), keys, (value & _U(255)).astype(np.uint8).tobytes()))
+                if len(bag[0]):
+                    bags[i], size = bag, size + len(bag[0])
+                if bags and (size >= STEP_SHINGLES or i == b.num_rows - 1):
+                    values = _mix(bag_minhashes(list(bags.values()), m).view(_U))
+                    keys = _mix((values[:, : bands * rows].reshape(-1, bands, rows) * powers).sum(axis=2, dtype=_U)).view(np.int64)
+                    low = (values & _U(255)).astype(np.uint8)
+                    for x, (at, bag) in enumerate(bags.items()):
+                        out[at] = content_key(bag), int(bag[1].sum()), keys[x], low[x].tobytes()
+                    bags, size = {}, 0
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
@@ -365,6 +377,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     main = counts.groupBy("value").agg(F.max_by("component", F.struct("c", F.col("component"))).alias("main"), F.max("c").alias("inside"), F.count("*").alias("kinds")).filter("kinds > 1")
     main = main.join(large.select("value", "size", "band", "parts"), "value")
     main = main.withColumn("out_parts", F.ceil((F.col("size") - F.col("inside")) * F.col("parts") / F.col("size")).cast("int"))
+    main = materialise(main, "main")
     held = look_up(held.drop("parts", "part"), main, "value", members)
     out_part = F.pmod(F.xxhash64("uid", F.lit(7)), "out_parts").cast("int")
     inner = F.col("component") == F.col("main")
