@@ -18,7 +18,7 @@ import numpy as np
 
 #: Below this number of families with a customer left to seat, plain loops are faster.
 WIDTH = 48
-#: Customers of a family that a sweep reseats: all, up to this number, else so many at random (a random scan leaves the posterior as it is).
+#: Families with more customers are not laid out in arrays, which would take memory; a sweep reseats every customer of theirs too.
 SCAN = 1 << 18
 
 
@@ -269,8 +269,6 @@ class _Sweep:
             up = [] if enter else kept_up[a : a + int(s.up_tables[f])].tolist()
         up_c, up_t = int(s.up_customers[f]), sum(1 for x in up if x)
         up_table = array("i", np.repeat(np.arange(len(up), dtype=np.int32), up).tobytes()) if up else array("i")
-        held = int(s.held[f])
-        share = min(1.0, SCAN / held)
         before = 0
         for n, d in enumerate(dishes):
             count, ctx = int(s.count[d]), int(s.context[d])
@@ -282,30 +280,21 @@ class _Sweep:
             if state is not None:
                 table, begin = state[n]
                 own = size[begin : begin + count].tolist()
-                seats = (table - begin).tolist()
+                seats = array("i", (table - begin).astype(np.int32).tobytes())
                 if skip == count:
                     sizes[d] = [x for x in own if x]
                     continue
             else:
                 a = int(self.firsts[d])
-                own = [] if enter else kept[a : a + int(s.tables[d])].tolist()
-                seats = [] if enter else None
-            tables = sum(1 for x in own if x)
-            frozen = None
-            todo = count if share == 1.0 else max(1, int(np.ceil(count * share)))
-            if seats is None:
-                if todo < count:
-                    chosen = self.rng.multivariate_hypergeometric(own, todo, method="marginals")
-                    rest = np.array(own) - chosen
-                    frozen = np.cumsum(rest), int(rest.sum())
-                else:
-                    chosen = np.array(own)
-                seats = np.repeat(np.arange(len(own)), chosen)
-                self.rng.shuffle(seats)
-                seats = seats.tolist()
-            spare = [k for k, x in enumerate(own) if not x]
+                own = np.zeros(count, np.int32)
+                if not enter:
+                    own[: int(s.tables[d])] = kept[a : a + int(s.tables[d])]
+                seats, own = array("i", np.repeat(np.arange(count, dtype=np.int32), own).tobytes()), array("i", own.tobytes())
+            # Free places as in the arrays, last ones first: the order of tables, in which a sweep goes, is the same.
+            tables, top = sum(1 for x in own if x), count
+            spare = [] if state is None else [k for k, x in enumerate(own) if not x]
             seated = skip if enter else count - 1
-            for i in range(skip, todo):
+            for i in range(skip, count):
                 if not enter:
                     k = seats[i]
                     own[k] -= 1
@@ -330,22 +319,16 @@ class _Sweep:
                 if seated and rnd() * (fresh + seated - d2 * tables) >= fresh:
                     while True:
                         r = int(rnd() * seated)
-                        if enter:
-                            k = seats[r]
-                        elif r < todo - 1:
-                            k = seats[r if r < i else r + 1]
-                        else:
-                            k = int(np.searchsorted(frozen[0], r - (todo - 1), "right"))
+                        k = seats[r if enter or r < i else r + 1]
                         if rnd() * own[k] >= d2:
                             break
                     own[k] += 1
                 else:
                     if spare:
                         k = spare.pop()
-                        own[k] = 1
                     else:
-                        k = len(own)
-                        own.append(1)
+                        k = top = top - 1
+                    own[k] = 1
                     tables += 1
                     low_t += 1
                     mid_c += 1
@@ -368,8 +351,6 @@ class _Sweep:
                     seats.append(k)
                 seated += enter
             own = [x for x in own if x]
-            if enter and todo < count:  # where the chain starts: the others join existing tables in proportion
-                own = (np.array(own) + self.rng.multinomial(count - todo, (np.array(own) - d2) / (sum(own) - d2 * len(own)))).tolist()
             sizes[d] = own
             s.low_tables[ctx], s.tables[d] = low_t, len(own)
         up_sizes[f] = [x for x in up if x]
