@@ -18,7 +18,8 @@ summed by owners once a round, and stands still while a round sweeps.
 
 from __future__ import annotations
 
-from array import array
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -123,19 +124,15 @@ class _Chunk:
     """Documents as indices into the chunk's own words, frequent ones first."""
 
     def __init__(self):
-        self.words, self.hashes = {}, array("Q", [_END])
+        self.words = defaultdict(count(1).__next__)  # place 0 is the end's
         self.keys, self.held, self.lengths, self.tokens, self.size = [], [], [], [], 0
 
     def add(self, key, held: bool, text: str | None) -> None:
-        words, known = tokens(text), self.words
-        for w in words:
-            if w not in known:
-                known[w] = len(self.hashes)
-                self.hashes.append(xxhash.xxh3_64_intdigest(w))
+        words = tokens(text)
         self.keys.append(key)
         self.held.append(held)
         self.lengths.append(len(words) + 1)
-        self.tokens += [np.fromiter((known[w] for w in words), np.int32, len(words)), np.zeros(1, np.int32)]
+        self.tokens += [np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)), np.zeros(1, np.int32)]
         self.size += len(words) + 1
 
     def rows(self, chunk: int, owners: int):
@@ -144,7 +141,8 @@ class _Chunk:
         order = np.argsort(-np.bincount(word), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        word, hashes = rank[word], np.array(self.hashes, _U)[order]
+        hashes = np.fromiter(chain([_END], map(xxhash.xxh3_64_intdigest, self.words)), _U, 1 + len(self.words))
+        word, hashes = rank[word], hashes[order]
         train = np.repeat(~np.array(self.held, bool), self.lengths)
         count = np.bincount(word[train], minlength=len(order))
         yield chunk, -1, self.keys, self.held, self.lengths, pack(word), pack(rank[:1]), None

@@ -18,6 +18,8 @@ import numpy as np
 
 #: Below this number of families with a customer left to seat, plain loops are faster.
 WIDTH = 48
+#: Families that take their steps side by side: what they touch stays in a core's cache.
+BLOCK = 1 << 13
 #: Families with more customers are not laid out in arrays, which would take memory; a sweep reseats every customer of theirs too.
 SCAN = 1 << 18
 
@@ -174,91 +176,98 @@ class _Sweep:
                 open_ = open_[~ok]
             return out
 
-        width, j = len(fam), 0
-        while width >= WIDTH or (width and j < 2):
-            k = np.arange(width)
-            i = start[:width] + j
-            dish = who[i]
-            if not enter:
-                old = table[i]
-                size[old] -= 1
-                gone = np.nonzero(size[old] == 0)[0]
-                if len(gone):
-                    g, x = gone, dish[gone]
-                    free[begin[x] + frees[x]] = old[g]
-                    frees[x] += 1
-                    tables[x] -= 1
-                    np.subtract.at(low_t, context[x], 1)
-                    np.subtract.at(mid_c, middle[g], 1)
-                    r = start[g] + (rng.random(len(g)) * up_c[g]).astype(np.int64)
-                    up = up_table[r]
-                    up_c[g] -= 1
-                    up_table[r] = up_table[start[g] + up_c[g]]
-                    up_size[up] -= 1
-                    e = up_size[up] == 0
-                    g, up = g[e], up[e]
-                    up_free[start[g] + up_frees[g]] = up
-                    up_frees[g] += 1
-                    up_t[g] -= 1
-                    np.subtract.at(mid_t, middle[g], 1)
-            c0 = ahead[:width] + up_t[:width]
-            p0 = (np.maximum(c0 - root_d * np.minimum(root_t[:width], c0), 0.0) + back) / root_all
-            m = middle[:width]
-            fresh_up, old_up = (s1 + d1 * mid_t[m]) * p0, up_c[:width] - d1 * up_t[:width]
-            p1 = (old_up + fresh_up) / (s1 + mid_c[m])
-            seated = (i - begin[dish]) if enter else count[dish] - 1
-            fresh, stay = (s2 + d2 * low_t[context[dish]]) * p1, seated - d2 * tables[dish]
-            new = (rng.random(width) * (fresh + stay) < fresh) | (seated == 0)
-            o = np.nonzero(~new)[0]
-            if len(o):
-                t = pick(o, begin[dish[o]], seated[o], None if enter else i[o], table, size, d2)
-                table[i[o]] = t
-                size[t] += 1
-            g = np.nonzero(new)[0]
-            if len(g):
-                x = dish[g]
-                frees[x] -= 1
-                t = free[begin[x] + frees[x]]
-                table[i[g]] = t
-                size[t] = 1
-                tables[x] += 1
-                np.add.at(low_t, context[x], 1)
-                np.add.at(mid_c, middle[g], 1)
-                new_up = (rng.random(len(g)) * (fresh_up[g] + old_up[g]) < fresh_up[g]) | (up_c[g] == 0)
-                a = g[~new_up]
-                if len(a):
-                    t = pick(a, start[a], up_c[a], None, up_table, up_size, d1)
-                    up_table[start[a] + up_c[a]] = t
-                    up_size[t] += 1
-                a = g[new_up]
-                if len(a):
-                    up_frees[a] -= 1
-                    t = up_free[start[a] + up_frees[a]]
-                    up_table[start[a] + up_c[a]] = t
-                    up_size[t] = 1
-                    up_t[a] += 1
-                    np.add.at(mid_t, middle[a], 1)
-                up_c[g] += 1
-            j += 1
-            width = int(np.searchsorted(-held, -j, "left"))
-        # What the widest families still have to seat.
+        everything = fam, held, start, offset, ahead, root_t, middle, up_c, up_t, up_frees
+        for block in range(0, len(fam), BLOCK):
+            # Views, so that what a block writes is in place.
+            fam, held, start, offset, ahead, root_t, middle, up_c, up_t, up_frees = (x[block : block + BLOCK] for x in everything)
+            below = -held
+            width, j = len(held), 0
+            while width >= WIDTH or (width and j < 2):
+                k = np.arange(width)
+                i = start[:width] + j
+                dish = who[i]
+                if not enter:
+                    old = table[i]
+                    size[old] -= 1
+                    gone = np.nonzero(size[old] == 0)[0]
+                    if len(gone):
+                        g, x = gone, dish[gone]
+                        free[begin[x] + frees[x]] = old[g]
+                        frees[x] += 1
+                        tables[x] -= 1
+                        np.subtract.at(low_t, context[x], 1)
+                        np.subtract.at(mid_c, middle[g], 1)
+                        r = start[g] + (rng.random(len(g)) * up_c[g]).astype(np.int64)
+                        up = up_table[r]
+                        up_c[g] -= 1
+                        up_table[r] = up_table[start[g] + up_c[g]]
+                        up_size[up] -= 1
+                        e = up_size[up] == 0
+                        g, up = g[e], up[e]
+                        up_free[start[g] + up_frees[g]] = up
+                        up_frees[g] += 1
+                        up_t[g] -= 1
+                        np.subtract.at(mid_t, middle[g], 1)
+                c0 = ahead[:width] + up_t[:width]
+                p0 = (np.maximum(c0 - root_d * np.minimum(root_t[:width], c0), 0.0) + back) / root_all
+                m = middle[:width]
+                fresh_up, old_up = (s1 + d1 * mid_t[m]) * p0, up_c[:width] - d1 * up_t[:width]
+                p1 = (old_up + fresh_up) / (s1 + mid_c[m])
+                seated = (i - begin[dish]) if enter else count[dish] - 1
+                fresh, stay = (s2 + d2 * low_t[context[dish]]) * p1, seated - d2 * tables[dish]
+                new = (rng.random(width) * (fresh + stay) < fresh) | (seated == 0)
+                o = np.nonzero(~new)[0]
+                if len(o):
+                    t = pick(o, begin[dish[o]], seated[o], None if enter else i[o], table, size, d2)
+                    table[i[o]] = t
+                    size[t] += 1
+                g = np.nonzero(new)[0]
+                if len(g):
+                    x = dish[g]
+                    frees[x] -= 1
+                    t = free[begin[x] + frees[x]]
+                    table[i[g]] = t
+                    size[t] = 1
+                    tables[x] += 1
+                    np.add.at(low_t, context[x], 1)
+                    np.add.at(mid_c, middle[g], 1)
+                    new_up = (rng.random(len(g)) * (fresh_up[g] + old_up[g]) < fresh_up[g]) | (up_c[g] == 0)
+                    a = g[~new_up]
+                    if len(a):
+                        t = pick(a, start[a], up_c[a], None, up_table, up_size, d1)
+                        up_table[start[a] + up_c[a]] = t
+                        up_size[t] += 1
+                    a = g[new_up]
+                    if len(a):
+                        up_frees[a] -= 1
+                        t = up_free[start[a] + up_frees[a]]
+                        up_table[start[a] + up_c[a]] = t
+                        up_size[t] = 1
+                        up_t[a] += 1
+                        np.add.at(mid_t, middle[a], 1)
+                    up_c[g] += 1
+                j += 1
+                width = int(np.searchsorted(below, -j, "left"))
+            # What the widest families still have to seat.
+            s.up_customers[fam], s.up_tables[fam] = up_c, up_t
+            for k in range(width):
+                f = int(fam[k])
+                places = slice(int(start[k]), int(start[k] + held[k]))
+                own = range(dishes_at[f], dishes_at[f + 1])
+                s.tables[own.start : own.stop] = tables[offset[k] : offset[k] + len(own)]
+                up = up_size[places]
+                self._alone(f, own, sizes, up_sizes, None, None, done=j, seats=(table[places] - start[k]).tolist(), own=size[places].tolist(), up=up[up > 0].tolist())
+                tables[offset[k] : offset[k] + len(own)] = s.tables[own.start : own.stop]
         s.tables[dishes] = tables
-        s.up_customers[fam], s.up_tables[fam] = up_c, up_t
-        self.size, self.up_size, self.count_laid, self.held_laid = size, up_size, count, held
-        for k in range(width):
-            f = int(fam[k])
-            first, n = int(offset[k]), int(dishes_at[f + 1] - dishes_at[f])
-            state = [(table[begin[x] : begin[x] + count[x]], int(begin[x])) for x in range(first, first + n)]
-            up = up_size[start[k] : start[k] + held[k]]
-            self._alone(f, range(dishes_at[f], dishes_at[f + 1]), sizes, up_sizes, None, None, done=j, state=state, size=size, up=up[up > 0].tolist())
+        self.size, self.up_size, self.count_laid, self.held_laid = size, up_size, count, everything[1]
 
     # One family -----------------------------------------------------------
 
-    def _alone(self, f, dishes, sizes, up_sizes, kept, kept_up, done=0, state=None, size=None, up=None) -> None:
+    def _alone(self, f, dishes, sizes, up_sizes, kept, kept_up, done=0, seats=None, own=None, up=None) -> None:
         """Customers of one family from the ``done``-th on, in a plain loop."""
         s, enter = self.s, self.enter
         (_, d1, d2), (_, s1, s2) = s.params.discount, s.params.strength
-        rnd = _Randoms(self.rng)
+        rnd = _randoms(self.rng).__next__
         m = int(s.middle[f])
         mid_t, mid_c = int(s.mid_tables[m]), int(s.mid_customers[m])
         ahead, root_t = int(s.root_c[f] - s.root_own[f]), int(s.root_t[f])
@@ -269,32 +278,31 @@ class _Sweep:
             up = [] if enter else kept_up[a : a + int(s.up_tables[f])].tolist()
         up_c, up_t = int(s.up_customers[f]), sum(1 for x in up if x)
         up_table = array("i", np.repeat(np.arange(len(up), dtype=np.int32), up).tobytes()) if up else array("i")
-        before = 0
+        # Of a family from the arrays seats and sizes are at hand, each dish's from ``begin`` on; else they are laid out dish by dish.
+        laid, begin, before = own is not None, 0, 0
+        counts, contexts = s.count[dishes.start : dishes.stop].tolist(), s.context[dishes.start : dishes.stop]
+        lows, all_tables = s.low_tables[contexts].tolist(), s.tables[dishes.start : dishes.stop].tolist()
         for n, d in enumerate(dishes):
-            count, ctx = int(s.count[d]), int(s.context[d])
+            count, low_t, tables = counts[n], lows[n], all_tables[n]
             if not count:
                 continue
-            low_t = int(s.low_tables[ctx])
             skip = min(max(0, done - before), count)
+            if laid:
+                begin = before
             before += count
-            if state is not None:
-                table, begin = state[n]
-                own = size[begin : begin + count].tolist()
-                seats = array("i", (table - begin).astype(np.int32).tobytes())
-                if skip == count:
-                    sizes[d] = [x for x in own if x]
-                    continue
-            else:
+            if skip == count:
+                sizes[d] = [x for x in own[begin : begin + count] if x]
+                continue
+            if not laid:
                 a = int(self.firsts[d])
-                own = np.zeros(count, np.int32)
-                if not enter:
-                    own[: int(s.tables[d])] = kept[a : a + int(s.tables[d])]
+                own, tables = np.zeros(count, np.int32), 0 if enter else tables
+                own[:tables] = kept[a : a + tables]
                 seats, own = array("i", np.repeat(np.arange(count, dtype=np.int32), own).tobytes()), array("i", own.tobytes())
+                seats.extend([0] * (count - len(seats)))
             # Free places as in the arrays, last ones first: the order of tables, in which a sweep goes, is the same.
-            tables, top = sum(1 for x in own if x), count
-            spare = [] if state is None else [k for k, x in enumerate(own) if not x]
+            spare, top = [k for k in range(begin, begin + count) if not own[k]] if laid else [], begin + count
             seated = skip if enter else count - 1
-            for i in range(skip, count):
+            for i in range(begin + skip, begin + count):
                 if not enter:
                     k = seats[i]
                     own[k] -= 1
@@ -318,7 +326,7 @@ class _Sweep:
                 fresh = (s2 + d2 * low_t) * (old_up + fresh_up) / (s1 + mid_c)
                 if seated and rnd() * (fresh + seated - d2 * tables) >= fresh:
                     while True:
-                        r = int(rnd() * seated)
+                        r = begin + int(rnd() * seated)
                         k = seats[r if enter or r < i else r + 1]
                         if rnd() * own[k] >= d2:
                             break
@@ -345,14 +353,11 @@ class _Sweep:
                         mid_t += 1
                     up_c += 1
                     up_table.append(u)
-                if i < len(seats):
-                    seats[i] = k
-                else:
-                    seats.append(k)
+                seats[i] = k
                 seated += enter
-            own = [x for x in own if x]
-            sizes[d] = own
-            s.low_tables[ctx], s.tables[d] = low_t, len(own)
+            sizes[d] = [x for x in own[begin : begin + count] if x]
+            lows[n], all_tables[n] = low_t, tables
+        s.low_tables[contexts], s.tables[dishes.start : dishes.stop] = lows, all_tables
         up_sizes[f] = [x for x in up if x]
         s.up_customers[f], s.up_tables[f] = up_c, len(up_sizes[f])
         s.mid_tables[m], s.mid_customers[m] = mid_t, mid_c
@@ -396,16 +401,10 @@ class _Sweep:
         s.up_sizes = out
 
 
-class _Randoms:
+def _randoms(rng, n: int = 4096):
     """Uniform numbers from the generator, drawn by the thousand."""
-
-    def __init__(self, rng, n: int = 4096):
-        self.rng, self.n, self.left = rng, n, []
-
-    def __call__(self) -> float:
-        if not self.left:
-            self.left = self.rng.random(self.n).tolist()
-        return self.left.pop()
+    while True:
+        yield from rng.random(n).tolist()
 
 
 def seat_root(customers: np.ndarray, base: float, tables: float, params: Params, rng, sweeps: int) -> np.ndarray:
