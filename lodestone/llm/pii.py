@@ -24,7 +24,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_IP = re.compile(r"[0-9](?<![0-9]{2})[0-9]*+(?:\.[0-9]++){3}")  # from the first digit of a run: a search skips to digits
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -116,8 +116,32 @@ _CHAIN = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}(?:\s{{1,2}}(?:{_DOTWORD})\s{{1,2
 _HIDDEN = re.compile("[­​-‏⁠﻿]+")
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\s{1,2}@\s{1,2}(?=[A-Za-z0-9-]{1,63}\s{0,2}\.)|(?<=[A-Za-z0-9])\s{1,2}@(?=[A-Za-z0-9-]{1,63}\.)|(?<=[A-Za-z0-9])@\s{1,2}(?=[A-Za-z0-9-]{1,63}\.)")
 _GLYPH_DIGITS = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OolI](?:[ ().-]{0,2}[0-9OolI]){7,24}(?![A-Za-z0-9])")
-_TRIGGER = re.compile(rf"[\[({{<]\s{{0,2}}(?:{_ATWORD}|{_DOTWORD}|@|\.)\s{{0,2}}[\])}}>]|\s(?:{_DOTWORD})\s|\s@|@\s|(?<!\w)(?:plus|más) |[0-9][ ().-]{{0,2}}[OolI]|[OolI][ ().-]{{0,2}}[0-9]|[­​-‏⁠﻿]", re.I)
-_SPELL_TRIGGER = re.compile(rf"(?<!\w)(?:{_WORD})[ \-.,]{{1,2}}(?:{_WORD}|[0-9])|[0-9][ \-.,]{{1,2}}(?:{_WORD})(?!\w)", re.I)
+# What a lower-cased text is searched for: each begins with few characters, so that a search skips the others.
+_BRACKETED = re.compile(rf"[\[({{<]\s{{0,2}}(?:{_ATWORD}|{_DOTWORD}|@|\.)\s{{0,2}}[\])}}>]")
+_SPACED_DOT = re.compile(rf"\s(?:{_DOTWORD})\s")
+_LOOSE_AT = re.compile(r"\s@|@\s")
+_PLUS_WORD = re.compile(r"(?<!\w)(?:plus|más) ")
+_GLYPH_AFTER = re.compile(r"[0-9][ ().-]{0,2}[oli]")
+_GLYPH_BEFORE = re.compile(r"[oli][ ().-]{0,2}[0-9]")
+_SPELL_TRIGGER = re.compile(rf"(?<!\w)(?:{_WORD})[ \-.,]{{1,2}}(?:{_WORD}|[0-9])|[0-9][ \-.,]{{1,2}}(?:{_WORD})(?!\w)")
+
+
+def _lower(text: str) -> str:
+    """Lower case; the letters i that only ``re.I`` takes for one become one."""
+    return (text if text.isascii() else text.replace("İ", "i").replace("ı", "i")).lower()
+
+
+def _triggered(low: str) -> bool:
+    """Whether a lower-cased text has a sign of a disguise other than spelled numbers."""
+    return bool(
+        _BRACKETED.search(low)
+        or (any(w in low for w in _DOTWORD.split("|")) and _SPACED_DOT.search(low))
+        or ("@" in low and _LOOSE_AT.search(low))
+        or (("plus " in low or "más " in low) and _PLUS_WORD.search(low))
+        or _GLYPH_AFTER.search(low)
+        or _GLYPH_BEFORE.search(low)
+        or (not low.isascii() and _HIDDEN.search(low))
+    )
 
 
 class _Mapped:
@@ -210,14 +234,15 @@ def _edits(pattern: re.Pattern, text: str, to) -> list[tuple[int, int, str]]:
 def hidden_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """What only the normalised text shows, in source characters; a span equal to or inside a base one of its kind is left out."""
     plain = text if text.isascii() else text.translate(_FOLD)
-    spelled = _SPELL_TRIGGER.search(plain)
-    if plain == text and not spelled and not _TRIGGER.search(plain):
+    low = _lower(plain)
+    spelled = _SPELL_TRIGGER.search(low)
+    if plain == text and not spelled and not _triggered(low):
         return []
     view = _Mapped(plain)
     view.edit(_edits(_HIDDEN, view.text, ""))
     if _DOT_DIGIT.search(view.text):
         view.edit(_edits(_SPOKEN_IP, view.text, _spoken_ip))
-    if spelled or _SPELL_TRIGGER.search(view.text):
+    if spelled or _SPELL_TRIGGER.search(_lower(view.text)):
         view.edit(_edits(_SPELLED, view.text, _spelled))
     view.edit(_edits(_PLUS, view.text, "+"))
     view.edit(_edits(_GLYPH_DIGITS, view.text, _glyph_digits))
