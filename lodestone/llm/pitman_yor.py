@@ -96,14 +96,38 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _dense(x: np.ndarray) -> np.ndarray:
+    """Ranks among the distinct values, by a table of all numbers up to the largest."""
+    found = np.zeros(int(x.max(initial=0)) + 1, bool)
+    found[x] = True
+    return (np.cumsum(found) - 1)[x]
+
+
 def _order(one: np.ndarray, word: np.ndarray, two: np.ndarray) -> np.ndarray:
     """The order by three columns; as one number, where they fit, runs that are sorted already are merged."""
-    bits = [int(x.max(initial=0)).bit_length() for x in (one, word, two)]
-    if sum(bits) < 64:
-        return np.argsort((one << bits[1] | word) << bits[2] | two, kind="stable")
+    columns = [one, word, two]
+    for k in range(4):
+        bits = [int(x.max(initial=0)).bit_length() for x in columns]
+        if sum(bits) < 64:
+            return np.argsort((columns[0] << bits[1] | columns[1]) << bits[2] | columns[2], kind="stable")
+        if k < 3 and bits[k] < 27:  # a bucket has few of the previous words; a table has 2 ** 26 places at most
+            columns[k] = _dense(columns[k])
     return np.lexsort((two, word, one))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers from 0, ascending, and where each of ``x`` is among them; sorted together with their places, where both fit."""
+    bits = len(x).bit_length()
+    if int(x.max(initial=0)).bit_length() + bits > 63:
+        return np.unique(x, return_inverse=True)
+    both = np.sort(x << bits | np.arange(len(x)))
+    value = both >> bits
+    new = _changes(value)
+    where = np.empty(len(x), np.int64)
+    where[both & ((1 << bits) - 1)] = np.cumsum(new) - 1
+    return value[new], where
+
+
 def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
@@ -215,18 +239,18 @@ class _Triples:
         one[self.starts] = two[self.starts] = rank[end]
         second = self.starts[self.lengths > 1] + 1
         two[second] = rank[end]
-        pair, inverse = np.unique(one * n + word, return_inverse=True)
+        pair, inverse = _distinct(one * n + word)
         w1, w = pair // n, pair % n
         parts = 1 + word_uses[w1] // hot
         bucket = (_mix(_mix(ids[w1]) + np.where(parts > 1, 1 + _mix(ids[w]) % parts.astype(_U), 0).astype(_U)) % _U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")  # small numbers are dealt, not compared
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        triple, self.token = np.unique(rank[inverse] * n + two, return_inverse=True)
+        triple, self.token = _distinct(rank[inverse] * n + two)
         self.count = np.bincount(self.token[np.repeat(~held, self.lengths)], minlength=len(triple))
         at = order[triple // n]
         self.one, self.word, self.two, self.split = ids[w1[at]], ids[w[at]], ids[triple % n], parts[at] > 1
-        self.cuts = np.searchsorted(bucket[order][triple // n], np.arange(buckets + 1))
+        self.cuts = np.searchsorted(bucket[at], np.arange(buckets + 1))
 
     def rows(self, chunk: int):
         for k in np.nonzero(np.diff(self.cuts))[0].tolist():
@@ -291,9 +315,11 @@ class Bucket:
         one_f, word_f, split_f = one[family], word[family], split[family]
         self.middle = np.cumsum(_changes(one_f)) - 1
         low = _mix(_mix(one) + two.astype(_U))
-        _, some, self.context = np.unique(low, return_index=True, return_inverse=True)
+        context, self.context = _distinct((np.cumsum(_changes(one)) - 1) << int(two.max(initial=0)).bit_length() | two)
+        some = np.empty(len(context), np.int64)  # a dish of each
+        some[self.context] = np.arange(len(two))
         first = np.nonzero(_changes(one_f))[0]
-        self.words, self.root_of = np.unique(word_f, return_inverse=True)
+        self.words, self.root_of = _distinct(word_f)
         self.split_mid, self.split_low = np.nonzero(split_f[first])[0], np.nonzero(split[some])[0]
         keys = (self.words.astype(_U), one_f[first][self.split_mid].astype(_U), low[some][self.split_low])
         self.shared = [self._dealt(k) for k in keys]

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from array import array
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 
@@ -165,14 +166,18 @@ class _Sweep:
 
         def pick(place, low, n, skip, of, by, discount):
             """A table of ``of`` with its customers less the discount as weight, among customers low .. low + n without ``skip``."""
-            out, open_ = np.empty(len(place), np.int64), np.arange(len(place))
+            r = low + (rng.random(len(place)) * n).astype(np.int64)
+            if skip is not None:
+                r += r >= skip
+            out = of[r]
+            open_ = np.nonzero(rng.random(len(place)) * by[out] < discount)[0]
             while len(open_):
                 r = low[open_] + (rng.random(len(open_)) * n[open_]).astype(np.int64)
                 if skip is not None:
                     r += r >= skip[open_]
                 k = of[r]
                 ok = rng.random(len(open_)) * by[k] >= discount
-                out[open_[ok]] = k[ok]
+                out[open_] = k
                 open_ = open_[~ok]
             return out
 
@@ -301,12 +306,13 @@ class _Sweep:
                 seats.extend([0] * (count - len(seats)))
             # Free places as in the arrays, last ones first: the order of tables, in which a sweep goes, is the same.
             spare, top = [k for k in range(begin, begin + count) if not own[k]] if laid else [], begin + count
-            seated = skip if enter else count - 1
+            seated, moved = skip if enter else count - 1, True  # moved: tables have changed since they were weighed
             for i in range(begin + skip, begin + count):
                 if not enter:
                     k = seats[i]
                     own[k] -= 1
                     if not own[k]:
+                        moved = True
                         spare.append(k)
                         tables -= 1
                         low_t -= 1
@@ -320,10 +326,12 @@ class _Sweep:
                         if not up[u]:
                             up_t -= 1
                             mid_t -= 1
-                c0 = ahead + up_t
-                p0 = (max(c0 - root_d * min(root_t, c0), 0.0) + back) / root_all
-                fresh_up, old_up = (s1 + d1 * mid_t) * p0, up_c - d1 * up_t
-                fresh = (s2 + d2 * low_t) * (old_up + fresh_up) / (s1 + mid_c)
+                if moved:
+                    c0 = ahead + up_t
+                    p0 = c0 - root_d * (root_t if root_t < c0 else c0)
+                    p0 = ((p0 if p0 > 0.0 else 0.0) + back) / root_all
+                    fresh_up, old_up = (s1 + d1 * mid_t) * p0, up_c - d1 * up_t
+                    fresh, moved = (s2 + d2 * low_t) * (old_up + fresh_up) / (s1 + mid_c), False
                 if seated and rnd() * (fresh + seated - d2 * tables) >= fresh:
                     while True:
                         r = begin + int(rnd() * seated)
@@ -336,7 +344,7 @@ class _Sweep:
                         k = spare.pop()
                     else:
                         k = top = top - 1
-                    own[k] = 1
+                    own[k], moved = 1, True
                     tables += 1
                     low_t += 1
                     mid_c += 1
@@ -373,12 +381,8 @@ class _Sweep:
         alone = np.zeros(len(s.count), bool)
         alone[list(sizes)] = True
         laid = ~alone[self.dishes]
-        live = np.nonzero(self.size)[0]
-        owner = np.repeat(np.arange(len(self.dishes)), self.count_laid)[live]
-        live, owner = live[laid[owner]], owner[laid[owner]]
-        d = self.dishes[owner]
-        seq = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        out[first[d] + seq] = self.size[live]
+        d = self.dishes[laid]
+        out[_ragged(first[d], s.tables[d])] = self.size[(self.size > 0) & np.repeat(laid, self.count_laid)]
         for d, x in sizes.items():
             out[first[d] : first[d] + len(x)] = x
         s.sizes = out
@@ -389,13 +393,9 @@ class _Sweep:
         out[first[still]] = 1
         alone = np.zeros(len(s.held), bool)
         alone[list(up_sizes)] = True
-        live = np.nonzero(self.up_size)[0]
-        owner = np.repeat(np.arange(len(self.laid)), self.held_laid)[live]
         laid = ~alone[self.laid]
-        live, owner = live[laid[owner]], owner[laid[owner]]
-        f = self.laid[owner]
-        seq = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        out[first[f] + seq] = self.up_size[live]
+        f = self.laid[laid]
+        out[_ragged(first[f], s.up_tables[f])] = self.up_size[(self.up_size > 0) & np.repeat(laid, self.held_laid)]
         for f, x in up_sizes.items():
             out[first[f] : first[f] + len(x)] = x
         s.up_sizes = out
@@ -403,8 +403,7 @@ class _Sweep:
 
 def _randoms(rng, n: int = 4096):
     """Uniform numbers from the generator, drawn by the thousand."""
-    while True:
-        yield from rng.random(n).tolist()
+    return chain.from_iterable(iter(lambda: rng.random(n).tolist(), None))
 
 
 def seat_root(customers: np.ndarray, base: float, tables: float, params: Params, rng, sweeps: int) -> np.ndarray:
