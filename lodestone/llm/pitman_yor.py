@@ -18,11 +18,11 @@ summed by owners once a round, and stands still while a round sweeps.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,14 +66,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def pack(x: np.ndarray) -> bytes:
     """Numbers from 0 in as many bytes as the largest needs, byte after byte of all: that compresses well."""
     width = next(w for w in (1, 2, 4, 8) if w == 8 or int(x.max(initial=0)) < 1 << 8 * w)
-    planes = x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    x, planes = x.astype(f"<u{width}"), np.empty((width, len(x)), np.uint8)
+    for k in range(width):
+        planes[k] = x >> 8 * k if k else x
+    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpack(raw: bytes) -> np.ndarray:
     width, n = raw[0], int.from_bytes(raw[1:9], "little")
     planes = np.frombuffer(pa.decompress(raw[9:], width * n, "zstd", asbytes=True), np.uint8).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+    out = planes[-1].astype(np.int64)
+    for k in range(width - 2, -1, -1):
+        out <<= 8
+        out |= planes[k]
+    return out
 
 
 def _steps(x: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -124,7 +130,7 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     value = both >> bits
     new = _changes(value)
     where = np.empty(len(x), np.int64)
-    where[both & ((1 << bits) - 1)] = np.cumsum(new) - 1
+    where[both & ((1 << bits) - 1)] = np.cumsum(new.astype(np.int64)) - 1
     return value[new], where
 
 
@@ -144,28 +150,44 @@ def _ddl(text: str) -> str:
 # Documents to chunks ---------------------------------------------------------
 
 
+def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``tokens`` of a column: the words of all rows one after another, and how many each row has."""
+    text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    words = pc.ascii_split_whitespace(text)
+    number = np.where(pc.equal(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), 0, pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    words = pc.list_flatten(words)
+    return (words.filter(pc.greater(pc.binary_length(words), 0)) if number.sum() < len(words) else words), number.astype(np.int64)
+
+
 class _Chunk:
     """Documents as indices into the chunk's own words, frequent ones first."""
 
     def __init__(self):
-        self.words = defaultdict(count(1).__next__)  # place 0 is the end's
-        self.keys, self.held, self.lengths, self.tokens, self.size = [], [], [], [], 0
-
-    def add(self, key, held: bool, text: str | None) -> None:
-        words = tokens(text)
-        self.keys.append(key)
-        self.held.append(held)
-        self.lengths.append(len(words) + 1)
-        self.tokens += [np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)), np.zeros(1, np.int32)]
-        self.size += len(words) + 1
+        self.keys, self.held, self.lengths, self.words, self.size = [], [], [], [], 0
+
+    def add(self, keys: list, held: list[bool], words: pa.Array, number: np.ndarray) -> None:
+        self.keys += keys
+        self.held += held
+        self.lengths.append(number + 1)
+        self.words.append(words)
+        self.size += len(words) + len(number)
+
+    def _index(self) -> tuple[np.ndarray, list[bytes]]:
+        """Of each token the place of its word, and all words; place 0 is the end's."""
+        found = pa.chunked_array(self.words).combine_chunks().dictionary_encode()
+        self.lengths = np.concatenate(self.lengths)
+        word, ends = np.zeros(self.size, np.int32), np.zeros(self.size, bool)
+        ends[np.cumsum(self.lengths) - 1] = True
+        word[~ends] = found.indices.to_numpy() + 1
+        return word, found.dictionary.cast(pa.large_binary() if pa.types.is_large_string(found.dictionary.type) else pa.binary()).to_pylist()
 
     def rows(self, chunk: int, owners: int):
         """(chunk, owner, keys, held, lengths, a, b, c): the documents with owner -1, then the words of each owner."""
-        word = np.concatenate(self.tokens)
+        word, words = self._index()
         order = np.argsort(-np.bincount(word), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        hashes = np.fromiter(chain([_END], map(xxhash.xxh3_64_intdigest, self.words)), _U, 1 + len(self.words))
+        hashes = np.fromiter(chain([_END], map(xxhash.xxh3_64_intdigest, words)), _U, 1 + len(words))
         word, hashes = rank[word], hashes[order]
         train = np.repeat(~np.array(self.held, bool), self.lengths)
         count = np.bincount(word[train], minlength=len(order))
@@ -184,8 +206,12 @@ def _gather(docs: DataFrame, key: str, text: str, held: Column, owners: int, chu
         chunk, number, schema = _Chunk(), TaskContext.get().partitionId() << 24, None
         for b in batches:
             schema = pa.schema([("chunk", pa.int64()), ("owner", pa.int32()), ("keys", pa.list_(b.schema.field(0).type)), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-            for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                chunk.add(*row)
+            keys, held, (words, words_in) = b.column(0).to_pylist(), b.column(1).to_pylist(), _words(b.column(2))
+            at, size, row = np.concatenate([[0], np.cumsum(words_in)]), np.cumsum(words_in + 1), 0
+            while row < len(keys):  # a chunk ends with the row that fills it
+                end = min(len(keys), 1 + int(np.searchsorted(size, chunk_tokens - chunk.size + (size[row - 1] if row else 0))))
+                chunk.add(keys[row:end], held[row:end], words.slice(at[row], at[end] - at[row]), words_in[row:end])
+                row = end
                 if chunk.size >= chunk_tokens:
                     yield _batch(schema, list(chunk.rows(number, owners)))
                     chunk, number = _Chunk(), number + 1
@@ -241,22 +267,27 @@ class _Triples:
         two[second] = rank[end]
         pair, inverse = _distinct(one * n + word)
         w1, w = pair // n, pair % n
-        parts = 1 + word_uses[w1] // hot
-        bucket = (_mix(_mix(ids[w1]) + np.where(parts > 1, 1 + _mix(ids[w]) % parts.astype(_U), 0).astype(_U)) % _U(buckets)).astype(np.int64)
+        parts, mixed = 1 + word_uses // hot, _mix(ids)
+        bucket, dealt = (_mix(mixed) % _U(buckets)).astype(np.int64)[w1], np.nonzero((parts > 1)[w1])[0]
+        bucket[dealt] = (_mix(mixed[w1[dealt]] + _U(1) + mixed[w[dealt]] % parts[w1[dealt]].astype(_U)) % _U(buckets)).astype(np.int64)
         order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")  # small numbers are dealt, not compared
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         triple, self.token = _distinct(rank[inverse] * n + two)
-        self.count = np.bincount(self.token[np.repeat(~held, self.lengths)], minlength=len(triple))
-        at = order[triple // n]
-        self.one, self.word, self.two, self.split = ids[w1[at]], ids[w[at]], ids[triple % n], parts[at] > 1
-        self.cuts = np.searchsorted(bucket[at], np.arange(buckets + 1))
+        self.size, self._found = len(triple), (held, ids, order, triple, n, w1, w, parts, bucket, buckets)
 
     def rows(self, chunk: int):
-        for k in np.nonzero(np.diff(self.cuts))[0].tolist():
-            own = slice(int(self.cuts[k]), int(self.cuts[k + 1]))
-            one, word, two = self.one[own], self.word[own], self.two[own]
-            yield chunk, k, own.start, pack(np.diff(one, prepend=0)), pack(_steps(word, _changes(one))), pack(two), pack(self.count[own]), pack(self.split[own])
+        held, ids, order, triple, n, w1, w, parts, bucket, buckets = self._found
+        counts = np.bincount(self.token[np.repeat(~held, self.lengths)], minlength=len(triple))
+        pair, before = np.divmod(triple, n)
+        at = order[pair]
+        previous = w1[at]
+        ones, words, twos, split = ids[previous], ids[w[at]], ids[before], (parts > 1)[previous]
+        cuts = np.searchsorted(bucket[at], np.arange(buckets + 1))
+        for k in np.nonzero(np.diff(cuts))[0].tolist():
+            own = slice(int(cuts[k]), int(cuts[k + 1]))
+            one, word, two = ones[own], words[own], twos[own]
+            yield chunk, k, own.start, pack(np.diff(one, prepend=0)), pack(_steps(word, _changes(one))), pack(two), pack(counts[own]), pack(split[own])
 
 
 _SENT = "chunk long, bucket int, first long, one binary, word binary, two binary, count binary, split binary"
@@ -314,14 +345,14 @@ class Bucket:
         self.family = np.cumsum(family) - 1
         one_f, word_f, split_f = one[family], word[family], split[family]
         self.middle = np.cumsum(_changes(one_f)) - 1
-        low = _mix(_mix(one) + two.astype(_U))
         context, self.context = _distinct((np.cumsum(_changes(one)) - 1) << int(two.max(initial=0)).bit_length() | two)
         some = np.empty(len(context), np.int64)  # a dish of each
         some[self.context] = np.arange(len(two))
         first = np.nonzero(_changes(one_f))[0]
         self.words, self.root_of = _distinct(word_f)
         self.split_mid, self.split_low = np.nonzero(split_f[first])[0], np.nonzero(split[some])[0]
-        keys = (self.words.astype(_U), one_f[first][self.split_mid].astype(_U), low[some][self.split_low])
+        far = some[self.split_low]
+        keys = (self.words.astype(_U), one_f[first][self.split_mid].astype(_U), _mix(_mix(one[far]) + two[far].astype(_U)))
         self.shared = [self._dealt(k) for k in keys]
 
     def _dealt(self, keys: np.ndarray):
@@ -528,7 +559,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", he
         for d in left.to_pylist():
             rows = right.to_pylist()
             t = _Triples(d, [r for r in rows if r["p"] is None], number, hot_tokens)
-            p = np.empty(len(t.count), "<f4")
+            p = np.empty(t.size, "<f4")
             for r in rows:
                 if r["p"] is not None:
                     own = unpack(r["p"]).astype("<u4").view("<f4")
