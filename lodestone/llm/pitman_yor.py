@@ -179,7 +179,7 @@ class _Chunk:
         word, ends = np.zeros(self.size, np.int32), np.zeros(self.size, bool)
         ends[np.cumsum(self.lengths) - 1] = True
         word[~ends] = found.indices.to_numpy() + 1
-        return word, found.dictionary.cast(pa.large_binary() if pa.types.is_large_string(found.dictionary.type) else pa.binary()).to_pylist()
+        return word, found.dictionary.cast(pa.large_binary() if pa.types.is_large_string(found.dictionary.type) else pa.binary()).to_numpy(zero_copy_only=False).tolist()  # 0.01 s for 200,000 words, to_pylist takes 0.2
 
     def rows(self, chunk: int, owners: int):
         """(chunk, owner, keys, held, lengths, a, b, c): the documents with owner -1, then the words of each owner."""
@@ -432,8 +432,8 @@ def _answers(messages: DataFrame, params: Params, tables: int, vocabulary: int,
             own = [r for r in rows if r["kind"] == kind]
             if not own:
                 continue
-            keys = [np.cumsum(unpack(r["a"])).astype(_U) if kind == _ROOT else np.frombuffer(r["a"], _U) for r in own]
-            _, at = np.unique(np.concatenate(keys), return_inverse=True)
+            keys = [np.cumsum(unpack(r["a"])) if kind == _ROOT else np.frombuffer(r["a"], _U) for r in own]
+            _, at = _distinct(np.concatenate(keys)) if kind == _ROOT else np.unique(np.concatenate(keys), return_inverse=True)
             x, y = (np.bincount(at, weights=np.concatenate([unpack(r[c]) for r in own])).astype(np.int64) for c in "bc")
             rng, facts = np.random.default_rng((own[0]["owner"], kind, seed)), [0.0] * 8
             if kind == _ROOT:
