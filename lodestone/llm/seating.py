@@ -18,11 +18,11 @@ from itertools import chain
 import numpy as np
 
 #: Below this number of families with a customer left to seat, plain loops are faster.
-WIDTH = 64
+WIDTH = 48
 #: Draws at once for rejected picks: a step with few families tries several times in one go, ``TRIES`` in all and 16 for each at most.
 TRIES = 512
 #: Families that take their steps side by side: what they touch stays in a core's cache.
-BLOCK = 1 << 14
+BLOCK = 1 << 13
 #: Families with more customers are not laid out in arrays, which would take memory; a sweep reseats every customer of theirs too.
 SCAN = 1 << 18
 
