@@ -66,7 +66,7 @@ def heading_count(text: Column) -> Column:
 
 def terms(text: Column | str) -> Column:
     """Search terms in order: lower-case words, and of ideographs each one and each pair. A stand-in for a segmenter."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), "")
     has_ideograph = lambda w: w.rlike(CJK)
     singles = lambda w: F.regexp_extract_all(w, F.lit(rf"{CJK}|[^一-鿿]+"), F.lit(0))
     pairs = lambda w: F.filter(

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
 from lodestone.operators.fusion import ranked
-from lodestone.session import spread
+from lodestone.session import materialise, spread
 
 #: Decimals of a score: engines agree to these, and ties are broken by id.
 DECIMALS = 6
@@ -22,6 +22,8 @@ QUERY_BLOCK = 2048
 TILE_ROWS = 4096
 #: Bytes of query vectors up to which their blocks are broadcast; more meet the tiles in a shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Queries up to which their rarest terms are broadcast.
+BROADCAST_QUERIES = 200_000
 
 
 def vector_topk(chunks: DataFrame, query: Sequence[float], k: int = 10, chunk_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
@@ -150,23 +152,40 @@ def vector_topk_batch(
     return out.withColumnRenamed("g", group) if group else out.drop("g")
 
 
+def _exploded(rows: DataFrame, columns: Sequence[str], terms: Column) -> DataFrame:
+    """``columns`` and ``term``, a row for each of ``terms``.
+
+    The outer form, as the plain one gets a filter on the size of the list, which
+    cuts every text once more, and before any other filter.
+    """
+    return rows.select(*columns, F.explode_outer(terms).alias("term")).filter("term is not null")
+
+
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text", extra: Sequence[str] = (), only: DataFrame | None = None) -> DataFrame:
     """``(term, chunk_id, tf)`` and ``extra`` columns: the inverted index, to be written in order of ``term``.
 
-    ``only``, a frame with a column ``term``, keeps the index to those terms
-    before anything is shuffled by chunk.
+    ``only``, a frame of distinct ``extra`` columns and ``term``, keeps the index
+    to those before anything is shuffled by chunk.
     """
     own = spread(chunks.select(*extra, F.col(chunk_id).alias("chunk_id"), F.col(text).alias("_text")))
-    exploded = own.select(*extra, "chunk_id", F.explode(X.terms("_text")).alias("term"))
+    exploded = _exploded(own, [*extra, "chunk_id"], X.terms("_text"))
     if only is not None:
-        exploded = exploded.join(only.select("term").distinct(), "term", "left_semi")
+        exploded = exploded.join(only, [*extra, "term"], "left_semi")
     return exploded.groupBy(*extra, "chunk_id", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
+def term_uses(chunks: DataFrame, text: str = "text", extra: Sequence[str] = ()) -> DataFrame:
+    """``(term, chunks)`` and ``extra`` columns: in how many chunks each term occurs, summed up where the texts lie before any shuffle."""
+    own = spread(chunks.select(*extra, F.col(text).alias("_text")))
+    return _exploded(own, [*extra], F.array_distinct(X.terms("_text"))).groupBy(*extra, "term").agg(F.count("*").alias("chunks"))
+
+
 def query_terms(queries: DataFrame, query: str = "query", query_id: str = "query_id", segmented: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """``(query_id, term, n_terms)`` with distinct terms; ``segmented`` names a column with terms of another segmenter, ``extra`` columns to keep."""
     terms = F.array_distinct(F.filter(F.col(segmented), lambda t: F.trim(t) != "") if segmented else X.terms(query))
-    return queries.select(F.col(query_id).alias("query_id"), *extra, F.size(terms).alias("n_terms"), F.explode(terms).alias("term"))
+    # The list and its size are made before it is exploded: else they are made anew for every term.
+    own = queries.select(F.col(query_id).alias("query_id"), *extra, terms.alias("_terms"))
+    return _exploded(own.withColumn("n_terms", F.size("_terms")), ["query_id", *extra, "n_terms"], F.col("_terms"))
 
 
 def fulltext_topk(index: DataFrame, queries: DataFrame, k: int = 10, keys: Sequence[str] = ()) -> DataFrame:
@@ -174,9 +193,35 @@ def fulltext_topk(index: DataFrame, queries: DataFrame, k: int = 10, keys: Seque
 
     The score grows with the term frequencies and lies in [0, 1): the mean of
     tf / (tf + 1). ``keys`` are columns of both that must agree, with a ranking for
-    each of their values.
+    each of their values. Rows of one query id are one query.
+    """
+    uses = index.groupBy(*keys, "term").agg(F.count("*").alias("chunks"))
+    with_terms = lambda terms: index.join(terms, [*keys, "term"], "left_semi")
+    return _every_term(uses, with_terms, lambda ids: index.join(ids, [*keys, "chunk_id"], "left_semi"), queries, k, keys)
+
+
+def fulltext_topk_of(chunks: DataFrame, queries: DataFrame, k: int = 10, keys: Sequence[str] = (), text: str = "text") -> DataFrame:
+    """``fulltext_topk`` over ``(keys, chunk_id, text)`` without a stored index: only the postings that it needs are made."""
+    with_terms = lambda terms: postings(chunks, text=text, extra=keys, only=terms)
+    of_chunks = lambda ids: postings(chunks.join(ids, [*keys, "chunk_id"], "left_semi"), text=text, extra=keys)
+    return _every_term(term_uses(chunks, text, keys), with_terms, of_chunks, queries, k, keys)
+
+
+def _every_term(uses: DataFrame, with_terms: Callable[[DataFrame], DataFrame], of_chunks: Callable[[DataFrame], DataFrame], queries: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
+    """The best chunks by way of the rarest terms.
+
+    A chunk with every term of a query has its rarest one: the chunks of that
+    one meet the query, and only their postings are looked up. ``uses`` decides
+    which term that is, and no result. No table of all terms in common exists.
     """
-    hits = index.join(queries, ["term", *keys])
+    asked = queries.select("query_id", *keys, "term").distinct()
+    # A term that no chunk has is the rarest, so that its query meets none.
+    rare = asked.join(uses, [*keys, "term"], "left").groupBy("query_id", *keys)
+    rare = materialise(rare.agg(F.count("*").alias("n_terms"), F.min_by("term", F.struct(F.coalesce("chunks", F.lit(0)), "term")).alias("term")), "rarest-terms")
+    few = F.broadcast if rare.count() <= BROADCAST_QUERIES else lambda df: df
+    near = with_terms(few(rare.select(*keys, "term").distinct()))
+    pairs = materialise(near.join(few(rare), [*keys, "term"]).select("query_id", *keys, "chunk_id", "n_terms"), "rarest-pairs")
+    hits = of_chunks(pairs.select(*keys, "chunk_id").distinct()).join(pairs.join(asked, ["query_id", *keys]), [*keys, "chunk_id", "term"])
     scored = hits.groupBy("query_id", *keys, "chunk_id").agg(
         F.count("*").alias("found"), F.max("n_terms").alias("n_terms"), F.sum(F.col("tf") / (F.col("tf") + 1.0)).alias("s")
     )

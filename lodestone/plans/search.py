@@ -50,8 +50,7 @@ def recall(chunks: DataFrame, asked: DataFrame, config: SearchConfig, embedder:
     vector = retrieval.vector_topk_batch(chunks, asked.select(F.col("part").alias("query_id"), "embedding", "dataset_ids"), config.top_k, group="dataset_id", groups="dataset_ids")
     by_dataset = asked.select(F.col("part").alias("query_id"), "query", F.explode(F.array_distinct("dataset_ids")).alias("dataset_id"))
     terms = retrieval.query_terms(by_dataset, extra=["dataset_id"])
-    words = index if index is not None else retrieval.postings(chunks, extra=["dataset_id"], only=terms)
-    full = retrieval.fulltext_topk(words, terms, config.top_k, ["dataset_id"])
+    full = retrieval.fulltext_topk(index, terms, config.top_k, ["dataset_id"]) if index is not None else retrieval.fulltext_topk_of(chunks, terms, config.top_k, ["dataset_id"])
     hits = vector.withColumn("source", F.lit("vector")).unionByName(full, allowMissingColumns=True)
     hits = hits.withColumnRenamed("query_id", "part").join(asked.select("part", "query_id", "variant_idx"), "part").drop("part")
     hits = hits.withColumn("group_idx", F.when(F.col("source") == "vector", 0).otherwise(1))
