@@ -10,7 +10,7 @@ from lodestone.functions import text as X
 REPEATED_LENGTH = 30
 REPEATED_TIMES = 3
 _PAGE_NUMBER = r"(?i)^(?:\d+|-\s*\d+\s*-|\d+\s*/\s*\d+|page\s+\d+)\s*$"
-_SENTENCE_END = r"[。.!?！？]\s*$"
+_SENTENCE_END = r"[。.!?！？]\s*\z"
 _BULLET = r"^\s*(?:[-*]|\d+\.)\s+"
 
 
