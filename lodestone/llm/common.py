@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows and bytes in an Arrow batch: some texts have 100 kB, so batches stay small.
-ARROW_ROWS = 512
-ARROW_BYTES = 8 << 20
+from lodestone.session import ARROW_BYTES, ARROW_ROWS, arrow_map
+
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "arrow_map", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over small batches, on both sides of the pipe.
-
-    The session's batch limits are lowered to ``ARROW_ROWS`` and
-    ``ARROW_BYTES`` where they are higher: buffers of whole partitions would
-    count twice in every executor.
-    """
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    return df.mapInArrow(fn, schema)

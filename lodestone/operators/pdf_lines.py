@@ -1,17 +1,27 @@
-"""Text of paged documents: edges, repeated lines, page numbers, visual lines. Built-in expressions only."""
+"""Text of paged documents: edges, repeated lines, page numbers, visual lines."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.session import arrow_map, spread
 
 REPEATED_LENGTH = 30
 REPEATED_TIMES = 3
 _PAGE_NUMBER = r"(?i)^(?:\d+|-\s*\d+\s*-|\d+\s*/\s*\d+|page\s+\d+)\s*$"
 _SENTENCE_END = r"[。.!?！？]\s*\z"
 _BULLET = r"^\s*(?:[-*]|\d+\.)\s+"
+#: The same for Python, of stripped lines; digits and blanks are those of ASCII, as in the expressions.
+_LINE_END = re.compile(r"\r\n|\r|\n")
+_NUMBER = re.compile(r"\d+|-\s*\d+\s*-|\d+\s*/\s*\d+|page\s+\d+", re.IGNORECASE | re.ASCII)
+_BULLET_LINE = re.compile(r"(?:[-*]|\d+\.)\s+", re.ASCII)
 
 
 def trimmed_lines(page: Column | str) -> Column:
@@ -57,13 +67,50 @@ def merge_visual(lines: Column) -> Column:
     return F.aggregate(lines, start, step)["out"]
 
 
+def cleaned(pages: Iterable[str | None], merge: bool = True, drop_page_numbers: bool = True) -> str:
+    """The text of one document's pages, as the expressions above have it."""
+    found = []
+    for page in pages:
+        lines = [x.strip() for x in _LINE_END.split(page)] if page is not None else []
+        shown = [i for i, x in enumerate(lines) if x]
+        found.append(lines[shown[0] : shown[-1] + 1] if shown else [])
+    seen = Counter(x for lines in found for x in lines if x and len(x) <= REPEATED_LENGTH)
+    texts = []
+    for lines in found:
+        kept = [x for x in lines if seen[x] < REPEATED_TIMES and not (drop_page_numbers and _NUMBER.fullmatch(x))]
+        if merge:
+            kept = _merged(kept)
+        if kept:
+            texts.append("\n".join(kept))
+    body = "\n\n".join(texts)
+    return body + "\n" if body and not body.endswith("\n") else body
+
+
+def _merged(lines: list[str]) -> list[str]:
+    """``merge_visual`` of stripped lines, each joined once."""
+    out: list[list[str]] = []
+    goes_on = False
+    for line in lines:
+        alone = not line or bool(_BULLET_LINE.match(line))
+        if goes_on and not alone and out[-1][-1][-1] not in "。.!?！？":
+            out[-1].append(line)
+        else:
+            out.append([line])
+        goes_on = not alone
+    return [" ".join(x) for x in out]
+
+
 def document_text(docs: DataFrame, key: str = "doc_id", pages: str = "pages", merge: bool = True, drop_page_numbers: bool = True) -> DataFrame:
-    """``(key, text)``: cleaned pages with a blank line between them and one line end last; empty without any line."""
-    lines = drop_noise(page_lines(docs, key, pages), key, drop_page_numbers)
-    per_page = lines.groupBy(key, "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    shown = F.transform("l", lambda x: x["line"])
-    per_page = per_page.withColumn("t", F.array_join(merge_visual(shown) if merge else shown, "\n"))
-    body = per_page.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p"))
-    body = body.withColumn("text", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n"))
-    body = body.withColumn("text", F.when(F.col("text").endswith("\n") | (F.col("text") == ""), F.col("text")).otherwise(F.concat("text", F.lit("\n"))))
-    return docs.select(key).join(body.select(key, "text"), key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    """``(key, text)``: cleaned pages with a blank line between them and one line end last; empty without any line.
+
+    A row is a document, and all its pages are in it: rows are cleaned where they
+    lie, with no shuffle.
+    """
+
+    def run(batches):
+        for b in batches:
+            texts = [cleaned(p or (), merge, drop_page_numbers) for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["key", "text"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return arrow_map(spread(docs.select(F.col(key).alias("key"), pages)), run, f"key {kind}, text string").withColumnRenamed("key", key)
