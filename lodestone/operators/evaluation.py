@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators.fusion import ranked
+from lodestone.session import materialise
+
+#: Retrieved rows up to which they are broadcast to the ground truths.
+BROADCAST_ROWS = 1_000_000
 
 
 def relevance(records: DataFrame, retrieved: DataFrame, default_k: int = 10) -> DataFrame:
@@ -16,9 +20,14 @@ def relevance(records: DataFrame, retrieved: DataFrame, default_k: int = 10) ->
     query_id, chunk_id, pos. Repeated retrieved ids count each time, repeated
     ids of the ground truth once.
     """
-    truth = records.select("query_id", F.coalesce("k", F.lit(default_k)).alias("k"), F.array_distinct(F.coalesce("ground_truth_chunk_ids", F.array().cast("array<string>"))).alias("gt"))
-    gt = truth.select("query_id", F.explode("gt").alias("chunk_id"), F.lit(True).alias("relevant"))
-    marked = retrieved.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "pos").join(gt, ["query_id", "chunk_id"], "left")
+    own = records.select("query_id", F.coalesce("k", F.lit(default_k)).alias("k"), F.coalesce("ground_truth_chunk_ids", F.array().cast("array<string>")).alias("gt"))
+    # Ground truths may be long: they are counted, and cut to what was retrieved, before anything is shuffled.
+    truth = own.select("query_id", "k", F.size(F.array_distinct("gt")).alias("n_truth"))
+    found = materialise(retrieved.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "pos"), "retrieved")
+    pairs = found.select("query_id", "chunk_id").distinct()
+    pairs = F.broadcast(pairs) if found.count() <= BROADCAST_ROWS else pairs
+    gt = own.select("query_id", F.explode("gt").alias("chunk_id")).join(pairs, ["query_id", "chunk_id"], "left_semi").distinct().withColumn("relevant", F.lit(True))
+    marked = found.join(gt, ["query_id", "chunk_id"], "left")
     marked = marked.join(truth.select("query_id", "k"), "query_id")
     within = F.col("pos") <= F.col("k")
     hit = F.coalesce("relevant", F.lit(False))
@@ -29,7 +38,7 @@ def relevance(records: DataFrame, retrieved: DataFrame, default_k: int = 10) ->
         F.sum(F.when(hit & within, 1.0 / F.log2(F.col("pos") + 1.0))).alias("dcg"),
     )
     return truth.join(per_query, "query_id", "left").select(
-        "query_id", "k", F.size("gt").alias("n_truth"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hits", F.lit(0)).alias("hits"), "first_hit", F.coalesce("dcg", F.lit(0.0)).alias("dcg")
+        "query_id", "k", "n_truth", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hits", F.lit(0)).alias("hits"), "first_hit", F.coalesce("dcg", F.lit(0.0)).alias("dcg")
     )
 
 
