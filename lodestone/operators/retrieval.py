@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
 from lodestone.operators.fusion import ranked
-from lodestone.session import materialise, spread
+from lodestone.session import arrow_map, materialise, spread
 
 #: Decimals of a score: engines agree to these, and ties are broken by id.
 DECIMALS = 6
 #: Queries in a block and vectors in a tile: one matrix product.
 QUERY_BLOCK = 2048
 TILE_ROWS = 4096
+#: Scores that a task holds at a time, and rows it finds before it keeps the best of them.
+SCORES = 1 << 20
+FOUND_ROWS = 250_000
 #: Bytes of query vectors up to which their blocks are broadcast; more meet the tiles in a shuffle.
 BROADCAST_BYTES = 64 << 20
 #: Queries up to which their rarest terms are broadcast.
@@ -76,7 +79,7 @@ def _tiles(chunks: DataFrame, id_kind: str) -> DataFrame:
         for key in list(held):
             yield out(key)
 
-    return chunks.mapInArrow(run, f"g string, dim int, ids array<{id_kind}>, raw binary")
+    return arrow_map(chunks, run, f"g string, dim int, ids array<{id_kind}>, raw binary")
 
 
 def vector_topk_batch(
@@ -114,7 +117,7 @@ def vector_topk_batch(
     def run(batches):
         found: list[pa.Table] = []
         bounds: dict = {}  # (group, length, block) -> the k-th score of each query so far
-        held = 0
+        held, most = 0, FOUND_ROWS
 
         def best() -> pa.Table:
             t = pa.concat_tables(found).sort_by([("query_id", "ascending"), ("g", "ascending"), ("score", "descending"), ("chunk_id", "ascending")])
@@ -132,21 +135,26 @@ def vector_topk_batch(
                 dim, ids = dim.as_py(), ids.values
                 q, good = _unit_rows(asked.values.field("v"))
                 names = asked.values.field("query_id").take(pa.array(good))
-                s = np.round(q @ np.frombuffer(raw.as_py()).reshape(-1, dim).T, DECIMALS)
-                if not s.size:
-                    continue
+                tile = np.frombuffer(raw.as_buffer()).reshape(-1, dim).T
                 low = bounds.setdefault((g.as_py(), dim, place.as_py()), np.full(len(q), -np.inf))
-                if s.shape[1] >= k:  # what ties with the k-th stays, so that ids decide
-                    np.maximum(low, np.partition(s, -k, axis=1)[:, -k], out=low)
-                i, j = np.nonzero(s >= low[:, None])
-                found.append(pa.table({"query_id": names.take(pa.array(i)), "chunk_id": ids.take(pa.array(j)), "score": s[i, j], "g": pa.repeat(g, len(i))}))
-                held += len(i)
-                if held > 1_000_000:
-                    found, held = [best()], 0
+                step = max(1, SCORES // max(1, tile.shape[1]))
+                for at in range(0, len(q), step):  # a few queries at a time: scores of a whole block take many times its size
+                    s = q[at : at + step] @ tile
+                    np.round(s, DECIMALS, out=s)
+                    least = low[at : at + step]
+                    if s.shape[1] >= k:  # what ties with the k-th stays, so that ids decide
+                        np.maximum(least, np.partition(s, -k, axis=1)[:, -k], out=least)
+                    i, j = np.nonzero(s >= least[:, None])
+                    found.append(pa.table({"query_id": names.take(pa.array(i + at)), "chunk_id": ids.take(pa.array(j)), "score": s[i, j], "g": pa.repeat(g, len(i))}))
+                    held += len(i)
+                    if held > most:
+                        found = [best()]
+                        held = len(found[0])
+                        most = max(FOUND_ROWS, 2 * held)  # never sorted again for a few rows
         if found:
             yield from best().to_batches()
 
-    found = pairs.select("g", "dim", "ids", "raw", "block", "asked").mapInArrow(run, f"query_id {q_kind}, chunk_id {id_kind}, score double, g string")
+    found = arrow_map(pairs.select("g", "dim", "ids", "raw", "block", "asked"), run, f"query_id {q_kind}, chunk_id {id_kind}, score double, g string")
     keys = ["query_id", "g"] if group else ["query_id"]
     out = ranked(found, keys, F.desc("score"), F.asc("chunk_id"), limit=k)
     return out.withColumnRenamed("g", group) if group else out.drop("g")
