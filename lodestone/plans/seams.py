@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.errors import PERSIST_EMBED_FAILED
 from lodestone.functions import text as X
+from lodestone.session import arrow_map
 
 #: Texts to vectors; called once for each batch.
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
@@ -34,11 +35,11 @@ class HashEmbedder:
 
     def __call__(self, texts: Sequence[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dim))
+        digest = xxhash.xxh3_64_intdigest
         for row, text in zip(out, texts, strict=True):
             words = (text or "").lower().split()
-            for unit in (*words, *map(" ".join, zip(words, words[1:]))):
-                h = xxhash.xxh3_64_intdigest(unit)
-                row[h % self.dim] += 1.0 if h >> 63 else -1.0
+            h = np.fromiter(map(digest, (*words, *map(" ".join, zip(words, words[1:])))), np.uint64)
+            row += np.bincount((h % np.uint64(self.dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), self.dim)
             n = np.linalg.norm(row)
             if n:
                 row /= n
@@ -75,7 +76,7 @@ def embed(rows: DataFrame, embedder: Embedder, text: str = "text", vector: str =
                     vectors, error = [None] * b.num_rows, f"{PERSIST_EMBED_FAILED}: {e}"
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.list_(pa.float32())), pa.array([error] * b.num_rows, pa.string())], ["row", "v", "e"])
 
-    out = source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, v array<float>, e string")
+    out = arrow_map(source, run, f"row {source.schema['row'].dataType.simpleString()}, v array<float>, e string")
     return out.select("row.*", F.col("v").alias(vector), F.col("e").alias("embed_error"))
 
 
